@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import textkit
 from .common import components, spool
 
-SKETCH, SLICES = 1 << 18, 64  # counters and the pieces in which they travel
+SKETCH, SLICES = 1 << 20, 64  # counters and the pieces in which they travel
 SMALL = 8  # a bucket up to this many documents is compared in full
 HOT = 1 << 16  # tokens in more documents than this are salted
 BLOCK_SHINGLES = 2_000_000  # a block of step 5
@@ -48,8 +48,13 @@ class Spec:
     percent: int = 80
 
     def prefix(self, n):
+        """Tokens that a document must show to link with any other."""
         return n - (-(-self.percent * n // 100)) + 1
 
+    def index_prefix(self, n):
+        """Tokens that it must show to link with one that is not smaller."""
+        return n - (-(-2 * self.percent * n // (100 + self.percent))) + 1
+
 
 def _firsts(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Positions first[i], ..., first[i] + count[i] - 1 of all i."""
@@ -96,7 +101,7 @@ def _describe(spec: Spec):
                 m = len(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(_ids(part)), pa.array(np.diff(first)), pa.array(sig1), pa.array(sig2), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         if sketch.any():
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, pa.int64()) for _ in range(4)), pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([x.astype("<i8").tobytes() for x in np.split(sketch, SLICES)], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, pa.int64()) for _ in range(4)), pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([np.minimum(x, 2**31 - 1).astype("<i4").tobytes() for x in np.split(sketch, SLICES)], pa.binary())], names=names)
 
     return run
 
@@ -108,8 +113,8 @@ def _merge(kind: str):
         have: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, c in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                x = np.frombuffer(c, "<i8")
-                have[s] = x.copy() if s not in have else have[s] + x if kind == "sum" else have[s] | x
+                x = np.frombuffer(c, "<i4").astype(np.int64) if kind == "sum" else np.frombuffer(c, "<i8")
+                have[s] = x if s not in have else have[s] + x if kind == "sum" else have[s] | x
         if have:
             yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.int32()), pa.array([x.tobytes() for x in have.values()], pa.binary())], names=["slice", "counts"])
 
@@ -138,22 +143,38 @@ def _prefixes(spec: Spec, level: np.ndarray):
 
 
 def _bucket_pairs(percent: int):
-    """(a, b, kind) from rows (token, salt, n, doc) sorted in that order. kind 0: a candidate; 1: the same, of a large bucket;
-    2: of different size, but in a large bucket; 3: a is the first document of a salted part of the bucket of token b."""
+    """(a, b, kind) from rows (token, salt, size, doc) sorted in that order; size is twice the set's, and one more if the token is
+    not in the index prefix: such a row pairs with smaller documents only, and before a bucket's first index row it goes. kind 0: a candidate; 1: the same, of a large bucket;
+    2: of different size, but in a large bucket; 3: a is the first document of a salted part of the bucket of token b.
+    A bucket ends where the sizes leap so far that no document before can link with one after."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = None, 0  # the first rows of the last bucket, and how many rows it has had
+        held, seen, last = None, 0, 0  # the first rows of the last bucket, how many rows it has had, and the last one's size
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "salt", "n", "doc")]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "salt", "size", "doc")]
             c = extra = 0
-            if held is not None and held[0][0] == cols[0][0] and held[1][0] == cols[1][0]:
+            if held is not None and held[0][0] == cols[0][0] and held[1][0] == cols[1][0] and 100 * last >= percent * (int(cols[2][0]) // 2):
                 c, extra = len(held[0]), seen - len(held[0])
                 cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
-            token, salt, n, doc = cols
+            token, salt, size, doc = cols
+            n, index = size // 2, size % 2 == 0
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (100 * n[:-1].astype(np.int64) < percent * n[1:].astype(np.int64))
+            if c:
+                new[1 : c + 1] = False
+            # Rows before the first index row of a bucket are set aside; one bucket may so start anew within a batch.
+            own = np.cumsum(new) - 1
+            ahead = np.cumsum(index) - (np.cumsum(index) - index)[np.flatnonzero(new)][own] > 0
+            last_row = (token[-1], salt[-1], int(n[-1]))
+            token, salt, size, n, doc, index, own = (x[ahead] for x in (token, salt, size, n, doc, index, own))
+            c = min(c, len(token))
+            if not len(token):
+                held = None
+                continue
             new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
+            new[1:] = own[1:] != own[:-1]
             start = np.flatnonzero(new)
             own = np.cumsum(new) - 1
             rank = np.arange(len(token)) - start[own]
@@ -163,13 +184,14 @@ def _bucket_pairs(percent: int):
 
             def add(rows, other, kind):
                 a, b = np.minimum(doc[rows], doc[other]), np.maximum(doc[rows], doc[other])
-                fits = 100 * np.minimum(n[rows], n[other]) >= percent * np.maximum(n[rows], n[other])
+                fits = 100 * np.minimum(n[rows], n[other]).astype(np.int64) >= percent * np.maximum(n[rows], n[other]).astype(np.int64)
                 kinds = np.where(fits, kind, 2)
                 keep = (a != b) & (fits | (kind == 1))
                 out.append((a[keep], b[keep], kinds[keep]))
 
             for k in range(SMALL - 1):
                 rows = np.flatnonzero(fresh & (rank > k) & ((rank < SMALL) if k else True))
+                rows = rows[index[start[own[rows]] + k]] if k else rows
                 if len(rows):
                     add(rows, start[own[rows]] + k, np.where((rank[rows] >= SMALL) | (salt[rows] >= 0), 1, 0))
             turned = np.flatnonzero(fresh & (rank == SMALL) & (salt < 0))
@@ -180,8 +202,8 @@ def _bucket_pairs(percent: int):
             if len(heads):
                 out.append((doc[heads], token[heads], np.full(len(heads), 3)))
             at = start[-1]
-            seen = int(rank[-1]) + 1
-            held = [x[at : at + SMALL] for x in cols]
+            seen, last = int(rank[-1]) + 1, last_row[2]
+            held = [x[at : at + SMALL] for x in (token, salt, size, doc)] if (token[at], salt[at]) == last_row[:2] else None
             a, b, kinds = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(kinds, pa.int32())], names=["a", "b", "kind"])
 
@@ -222,15 +244,27 @@ def _wanted_sets(spec: Spec, packed: np.ndarray):
                 for salt in (_ORDER2, _ORDER3):
                     values, count = _sorted_prefix(first, h, textkit.mix(h ^ salt), spec)
                     ends = np.cumsum(count)
-                    blobs.append(pa.array([np.sort(values[e - c : e]).tobytes() for e, c in zip(ends, count, strict=True)], pa.binary()))
+                    blobs.append(pa.array([np.unique((values[e - c : e] >> np.uint64(32)).astype("<u4")).tobytes() for e, c in zip(ends, count, strict=True)], pa.binary()))
                 sets = pa.array([h[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(_ids(part)), pa.array(n), pa.array(sig1), *blobs, sets], names=["doc_id", "n", "sig1", "p2", "p3", "tokens"])
 
     return run
 
 
-def _tokens(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, np.uint64)
+def _held_by(packed: np.ndarray):
+    """The rows whose doc_id the filter may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(packed.view(np.uint8), bitorder="little").view(bool)
+        for batch in batches:
+            one, two = _bits(_ids(batch))
+            yield batch.filter(pa.array(bits[one] & bits[two]))
+
+    return run
+
+
+def _tokens(blob: bytes, kind: str = "<u8") -> np.ndarray:
+    return np.frombuffer(blob, kind)
 
 
 def _meet(x: np.ndarray, y: np.ndarray) -> int:
@@ -246,7 +280,7 @@ def _meet(x: np.ndarray, y: np.ndarray) -> int:
 
 def _share_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = [all(_meet(_tokens(x), _tokens(y)) for x, y in ((a2, b2), (a3, b3))) for a2, a3, b2, b3 in zip(*(batch.column(c).to_pylist() for c in ("a2", "a3", "b2", "b3")), strict=True)]
+        keep = [all(_meet(_tokens(x, "<u4"), _tokens(y, "<u4")) for x, y in ((a2, b2), (a3, b3))) for a2, a3, b2, b3 in zip(*(batch.column(c).to_pylist() for c in ("a2", "a3", "b2", "b3")), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -322,7 +356,7 @@ def _block(percent: int, level: np.ndarray):
 def _rest(spec: Spec, level: np.ndarray, grouped: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links between the components of each group (grp, doc, comp), by blocks of like sizes."""
     step = math.log(100 / spec.percent * 1.0001) if spec.percent < 100 else 1e-9
-    docs = grouped.join(sets.select(F.col("doc_id").alias("doc"), "n", "tokens"), "doc")
+    docs = grouped.join(sets.select(F.col("doc_id").alias("doc"), "n"), "doc")
     docs = docs.withColumn("c", F.floor(F.log(F.col("n")) / step).cast("long") if spec.percent < 100 else F.col("n"))
     sizes = docs.groupBy("grp", "c").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
     above = sizes.select("grp", (F.col("c") - 1).alias("c"), F.col("parts").alias("up"))
@@ -336,10 +370,11 @@ def _rest(spec: Spec, level: np.ndarray, grouped: DataFrame, sets: DataFrame) ->
     mine = F.concat(F.array(side(c, i, i, True, 0)), F.transform(F.filter(upto(F.col("parts")), lambda j: j > i), lambda j: side(c, i, j, False, 0)), F.transform(F.filter(upto(F.col("parts")), lambda j: j < i), lambda j: side(c, j, i, False, 1)))
     over = F.transform(upto(F.coalesce("up", F.lit(0))), lambda j: side(c, i, -j - 1, False, 0))
     under = F.transform(upto(F.coalesce("down", F.lit(0))), lambda j: side(c - 1, j, -i - 1, False, 1))
-    tasks = docs.withColumn("t", F.explode(F.concat(mine, over, under))).select("grp", "t.*", "doc", "comp", "tokens")
+    tasks = docs.withColumn("t", F.explode(F.concat(mine, over, under))).select("grp", "t.*", "doc", "comp")
     keys = ["grp", "tc", "ti", "tj"]
     useful = tasks.groupBy(*keys).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(*keys)
-    return tasks.join(useful, keys, "left_semi").groupBy(*keys).applyInPandas(_block(spec.percent, level), "a long, b long")
+    tasks = tasks.join(useful, keys, "left_semi").join(sets.select(F.col("doc_id").alias("doc"), "tokens"), "doc")
+    return tasks.groupBy(*keys).applyInPandas(_block(spec.percent, level), "a long, b long")
 
 
 def linked_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -350,6 +385,7 @@ def linked_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     counts = _merged(described.where("slice IS NOT NULL"), "sum", SKETCH)
     level = np.floor(8 * np.log2(np.maximum(counts, 1))).astype(np.uint16)
     ids = described.where("slice IS NULL").groupBy("doc_id").agg(F.min(F.struct("n", "sig1", "sig2")).alias("s")).select("doc_id", "s.*")
+    repeated = described.where("slice IS NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     least = ids.where("n > 0").groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep"))
     classes = spool(ids.join(least, ["n", "sig1", "sig2"], "left").select("doc_id", "n", "sig1", F.coalesce("rep", "doc_id").alias("rep")), "classes")
     reps = classes.where("n > 0 AND doc_id = rep").select("doc_id", "sig1")
@@ -358,14 +394,15 @@ def linked_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     parts = np.maximum(counts // (HOT // 2), 1)
     salts = {int(i): int(parts[i]) for i in np.flatnonzero(level > hot)}  # at most as many as the sketch has counters
     prefix = texts.mapInArrow(_prefixes(spec, level), "doc_id long, n long, sig1 long, prefix array<long>")
-    rows = prefix.join(reps, ["doc_id", "sig1"], "left_semi").select(F.explode("prefix").alias("token"), F.col("n").cast("int").alias("n"), F.col("doc_id").alias("doc"))
+    rows = prefix.join(reps, ["doc_id", "sig1"], "left_semi").select("n", F.col("doc_id").alias("doc"), F.posexplode("prefix").alias("pos", "token"))
+    rows = rows.withColumn("size", (2 * F.col("n") + F.when(F.expr(f"pos < n - int(ceil(2 * {percent} * n / {100 + percent}D - 1e-9)) + 1"), 0).otherwise(1)).cast("int"))
     if salts:
         table = F.broadcast(docs.sparkSession.createDataFrame(list(salts.items()), "counter long, parts int"))
         rows = rows.withColumn("counter", F.col("token").bitwiseAND(F.lit(SKETCH - 1))).join(table, "counter", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"), F.lit(-1)))
     else:
         rows = rows.withColumn("salt", F.lit(-1))
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("token", "salt", "n", "doc").repartition(n_parts, "token", "salt").sortWithinPartitions("token", "salt", "n", "doc")
+    rows = rows.select("token", "salt", "size", "doc").repartition(n_parts, "token", "salt").sortWithinPartitions("token", "salt", "size", "doc")
     pairs = spool(rows.mapInArrow(_bucket_pairs(percent), "a long, b long, kind int").groupBy("a", "b").agg(F.min("kind").alias("least"), F.max("kind").alias("most")), "pairs")
     heads = pairs.where("most = 3").select(F.col("b").alias("token"), F.col("a").alias("doc"))
     first = heads.groupBy("token").agg(F.min("doc").alias("top"))
@@ -375,24 +412,28 @@ def linked_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     ends = lambda e: e.select(F.explode(F.array("a", "b")).alias("doc_id"))
     wanted = ends(candidates).unionByName(ends(large)).distinct()
-    bloom = _merged(wanted.mapInArrow(_bloom, "slice int, counts binary"), "or", BLOOM_BITS // 64)
-    sets = texts.mapInArrow(_wanted_sets(spec, bloom), "doc_id long, n long, sig1 long, p2 binary, p3 binary, tokens binary")
-    sets = spool(sets, "sets").join(reps, ["doc_id", "sig1"], "left_semi")
-
-    def with_both(pairs: DataFrame, *columns: tuple[str, str]) -> DataFrame:
+    # A filter of fixed size keeps most of the sets that nobody asks for out of the files and shuffles; the joins are exact.
+    filter_of = lambda ids: _merged(ids.mapInArrow(_bloom, "slice int, counts binary"), "or", BLOOM_BITS // 64)
+    sets = spool(texts.mapInArrow(_wanted_sets(spec, filter_of(wanted)), "doc_id long, n long, sig1 long, p2 binary, p3 binary, tokens binary"), "sets")
+    if repeated:
+        sets = sets.join(reps, ["doc_id", "sig1"], "left_semi").dropDuplicates(["doc_id"])
+    token_sets = lambda ids: sets.select("doc_id", "n", "tokens").mapInArrow(_held_by(filter_of(ids)), "doc_id long, n long, tokens binary")
+
+    def with_both(pairs: DataFrame, sets: DataFrame, *columns: tuple[str, str]) -> DataFrame:
         for end in ("a", "b"):
-            pairs = pairs.join(sets.select(F.col("doc_id").alias(end), *(F.col(c).alias(end_name.format(end)) for c, end_name in columns)).dropDuplicates([end]), end)
+            pairs = pairs.join(sets.select(F.col("doc_id").alias(end), *(F.col(c).alias(name.format(end)) for c, name in columns)), end)
         return pairs
 
-    near = spool(with_both(candidates, ("p2", "{}2"), ("p3", "{}3")).select("a", "b", "a2", "a3", "b2", "b3").mapInArrow(_share_prefixes, "a long, b long"), "near")
-    links = spool(with_both(near, ("tokens", "t{}")).select("a", "b", "ta", "tb").mapInArrow(_linked(percent), "a long, b long"), "links")
+    near = spool(with_both(candidates, sets, ("p2", "{}2"), ("p3", "{}3")).select("a", "b", "a2", "a3", "b2", "b3").mapInArrow(_share_prefixes, "a long, b long"), "near")
+    links = spool(with_both(near, token_sets(ends(near).distinct()), ("tokens", "t{}")).select("a", "b", "ta", "tb").mapInArrow(_linked(percent), "a long, b long"), "links")
     comp = components(links)
     if not large.isEmpty():
         group = components(large).withColumnRenamed("component", "grp")
         placed = group.join(comp, "node", "left").select("grp", F.col("node").alias("doc"), F.coalesce("component", "node").alias("comp"))
         placed = spool(placed, "placed")
         mixed = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("grp")
-        more = spool(_rest(spec, level, placed.join(mixed, "grp", "left_semi"), sets.dropDuplicates(["doc_id"])), "more")
+        open_docs = spool(placed.join(mixed, "grp", "left_semi"), "open")
+        more = spool(_rest(spec, level, open_docs, spool(token_sets(open_docs.select(F.col("doc").alias("doc_id")).distinct()), "open-sets")), "more")
         if not more.isEmpty():
             known = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
             comp = components(known.where("a <> b").unionByName(more))
