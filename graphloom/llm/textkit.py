@@ -19,6 +19,9 @@ SLICE_BYTES = 2 << 20
 LONG_WORD = 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space and ASCII punctuation, for operators that compare letters and digits only.
+PUNCTUATION = _SPACE.copy()
+PUNCTUATION[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
@@ -114,13 +117,13 @@ def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return out
 
 
-def words(texts: list[bytes]) -> Words:
+def words(texts: list[bytes], space: np.ndarray = _SPACE) -> Words:
     offsets = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=offsets[1:])
     raw = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
     n = int(offsets[-1])
     buf = _LOWER[raw]
-    solid = ~_SPACE[buf[:n]]
+    solid = ~space[buf[:n]]
     begins, ends = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]
