@@ -144,7 +144,7 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Runs of rows whose texts together have about ``most`` bytes, a single longer text by itself."""
-    step = max(1, min(512, batch.num_rows))
+    step = max(1, min(2048, batch.num_rows))
     for at in range(0, batch.num_rows, step):
         part = batch.slice(at, step)
         texts = utf8(part.column(text))
