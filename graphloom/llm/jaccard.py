@@ -164,9 +164,10 @@ def _bucket_pairs(percent: int):
             new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (100 * n[:-1].astype(np.int64) < percent * n[1:].astype(np.int64))
             if c:
                 new[1 : c + 1] = False
-            # Rows before the first index row of a bucket are set aside; one bucket may so start anew within a batch.
+            # Rows before the first index row of a bucket are set aside, but in parts of a salted one, whose index rows may be in other parts.
             own = np.cumsum(new) - 1
             ahead = np.cumsum(index) - (np.cumsum(index) - index)[np.flatnonzero(new)][own] > 0
+            ahead |= salt >= 0
             last_row = (token[-1], salt[-1], int(n[-1]))
             token, salt, size, n, doc, index, own = (x[ahead] for x in (token, salt, size, n, doc, index, own))
             c = min(c, len(token))
