@@ -11,7 +11,7 @@ models have not seen, turns it into a score.
 Training takes at most SAMPLE labelled rows of each class, chosen by a hash of doc_id, of texts up to SAMPLE_BYTES; nothing else
 is sampled. The models are tables of bounded size, since the sample is; every whole text is scored in one pass without a shuffle.
 
-Defined cases: null and empty texts, and texts without words, have no evidence and get the curve's value at 0; rows without an id are scored and
+Defined cases: null and empty texts, and texts without words, have the evidence of a word that neither class has seen; rows without an id are scored and
 not held out; labels that are null, or of ids without a text, are ignored; without rows of both classes every score is 0.
 """
 
@@ -90,8 +90,10 @@ class Model:
         """Toxic minus ordinary log-likelihood, per word."""
         w = textkit.words(texts, textkit.PUNCTUATION)
         n = np.diff(w.first)
+        root, known = _at(self.contexts, textkit.fold([np.zeros(1, np.uint64)], 0))
+        unseen = float(self.backoff[root[0]]) if known[0] else 0.0
         if not len(w.start):
-            return np.zeros(len(texts))
+            return np.full(len(texts), unseen)
         _, first, of = np.unique(w.hashes(), return_index=True, return_inverse=True)
         word = np.zeros(len(first))
         for context, code in grams(w, first):
@@ -100,7 +102,7 @@ class Model:
             if len(self.codes):
                 word += np.where(seen, self.ratio[i], np.where(known, self.backoff[c], 0))
         total = np.concatenate([[0], np.cumsum(word[of])])
-        return (total[w.first[1:]] - total[w.first[:-1]]) / np.maximum(n, 1)
+        return np.where(n > 0, (total[w.first[1:]] - total[w.first[:-1]]) / np.maximum(n, 1), unseen)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.bias, -500, 500)))
