@@ -132,6 +132,7 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(_spans_of, "h long, doc_id long, at int")
     order = F.struct("doc_id", "at")
     first = found.groupBy("h").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("h", "first")
+    first = spool(first, "repeated")  # stored, so that the join below reads two plain shuffles and a hot hash can be split
     again = found.join(first, "h").where(order > F.col("first"))
     cuts = spool(again.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("__cut")), "cuts")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())])
