@@ -99,10 +99,11 @@ def where_matrix(spark, sf):
     return _parts(spark, sf).select("path", F.explode(met).alias("condition"))
 
 
-@query("SELECT 'order/' || o_orderkey AS path, strftime(o_orderdate, '%Y') || '/' || strftime(o_orderdate, '%Y-%m') AS route FROM orders WHERE o_orderdate IS NOT NULL")
+@query("SELECT 'order/' || o_orderkey AS path, strftime(o_orderdate, '%Y') || '/' || strftime(o_orderdate, '%Y-%m') AS route FROM orders")
 def nest_route(spark, sf):
-    route = views.nest_route(views.Grouping(("o_orderdate",)), views.Grain("month"))
-    return _orders(spark, sf).select("path", F.array_join(route, "/").alias("route")).where("route IS NOT NULL")
+    found = views.nest_route(_orders(spark, sf), views.Grouping(("o_orderdate",)), views.Grain("month"))
+    # Without a filter on the route, which Catalyst would push below the columns that make it and so compute them over and over.
+    return found.select("path", F.array_join("route", "/").alias("route"))
 
 
 _TREE = """WITH RECURSIVE e(source, target) AS (SELECT 'root', 'region/' || r_regionkey FROM region UNION ALL SELECT 'region/' || n_regionkey, 'nation/' || n_nationkey FROM nation

@@ -134,8 +134,11 @@ def totals(rows: DataFrame, grouping: Grouping) -> DataFrame:
     return placements(rows, grouping).agg(F.count_distinct("path").alias("n_documents"), F.count(F.lit(1)).alias("n_placements"))
 
 
-def nest_route(grouping: Grouping, nest: Grain) -> Column:
-    """One title for each grain of the chain; null unless the document has exactly one text and all grains accept it."""
-    raw = grouping.raw()
-    route = F.array(*(g.cut(F.try_element_at(raw, F.lit(1))) for g in nest.chain()))
-    return F.when((F.size(raw) == 1) & ~F.exists(route, lambda r: r.isNull()), route)
+def nest_route(docs: DataFrame, grouping: Grouping, nest: Grain) -> DataFrame:
+    """The documents with ``route``: one title for each grain of the chain; null unless there is exactly one text and all grains accept it.
+
+    The text and the titles are columns of their own, so that each is computed once a row."""
+    raw = docs.withColumn("__raw", grouping.raw())
+    one = raw.withColumn("__one", F.when(F.size("__raw") == 1, F.try_element_at("__raw", F.lit(1))))
+    titles = one.withColumn("__titles", F.array_compact(F.array(*(g.cut(F.col("__one")) for g in nest.chain()))))
+    return titles.withColumn("route", F.when(F.size("__titles") == len(nest.chain()), F.col("__titles"))).drop("__raw", "__one", "__titles")
