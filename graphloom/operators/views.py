@@ -23,11 +23,18 @@ class Grain:
 
     @staticmethod
     def parse(value: Any) -> Grain | None:
+        """A bare word, or a mapping with the one key ``initial`` and a positive number."""
         if isinstance(value, str) and value.strip() in _DATES:
             return Grain(value.strip())
-        if isinstance(value, dict) and isinstance(n := value.get("initial"), int) and not isinstance(n, bool) and n > 0:
-            return Grain("initial", n)
-        return Grain("initial", 1) if isinstance(value, str) and value.strip() == "initial" else None
+        if isinstance(value, dict) and list(value) == ["initial"]:
+            n = value["initial"]
+            n = int(n) if isinstance(n, str) and n.strip().isdecimal() else n
+            return Grain("initial", n) if isinstance(n, int) and not isinstance(n, bool) and n > 0 else None
+        return None
+
+    @property
+    def display(self) -> str:
+        return f"initial {self.n}" if self.kind == "initial" and self.n > 1 else self.kind
 
     def to_value(self) -> Any:
         return {"initial": self.n} if self.kind == "initial" else self.kind
