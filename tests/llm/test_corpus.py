@@ -123,7 +123,7 @@ def test_windows_score_each_token_once():
     r = np.random.default_rng(1)
     texts = [r.integers(0, 300, n) for n in (0, 1, 35, 36, 37, 71, 72, 200)] * 3
     model = attention.train([t for t in texts if len(t)], 301, 300, steps=5)
-    model.set_counts(np.ones(301))
+    model.set_counts(np.ones(301), r.integers(0, 3, attention.N_PAIRS))
     together = model.score(texts, 300)
     assert np.allclose(together, [model.score([t], 300)[0] for t in texts])
     # By hand: each id from the window that scores it.
@@ -135,7 +135,7 @@ def test_windows_score_each_token_once():
             a = k // s * s
             row = model.class_log(model.symbol[stream[a : a + w]][None], model.cls[stream[a + lead + 1 : a + w + 1]][None])
             target = stream[lead + 1 + k]
-            value += row[0, k - a] + model.log_in[target]
+            value += row[0, k - a] + model.log_in[target] + model.after[model.row[stream[lead + k]], model.column[target]]
         assert math.isclose(value, total, rel_tol=1e-4)
 
 
@@ -147,6 +147,11 @@ def test_class_probabilities_and_gradients():
     assert np.allclose(total, 1, atol=1e-3)
     model.set_counts(r.integers(0, 9, 301).astype(float))
     assert np.allclose(np.bincount(model.cls, np.exp(model.log_in.astype(float)), minlength=attention.CLASSES)[np.unique(model.cls)], 1, atol=1e-4)
+    stream = r.integers(0, 300, 4000)
+    model.set_counts(np.bincount(stream, minlength=301), np.bincount(model.pairs(stream), minlength=attention.N_PAIRS))
+    for before in (3, 77, 300):  # after any id, the ids of a class share all its probability
+        p = np.exp(model.log_in.astype(float) + model.after[model.row[before], model.column])
+        assert np.allclose(np.bincount(model.cls, p, minlength=attention.CLASSES)[np.unique(model.cls)], 1, atol=1e-4)
     p = {k: v.astype(float) for k, v in model.p.items()}
     s, t = r.integers(0, 200, (2, attention.WINDOW)), r.integers(0, attention.CLASSES, (2, attention.WINDOW))
     _, g = attention._loss(p, s, t)
