@@ -387,7 +387,8 @@ def linked_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     level = np.floor(8 * np.log2(np.maximum(counts, 1))).astype(np.uint16)
     ids = described.where("slice IS NULL").groupBy("doc_id").agg(F.min(F.struct("n", "sig1", "sig2")).alias("s")).select("doc_id", "s.*")
     repeated = described.where("slice IS NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    least = ids.where("n > 0").groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep"))
+    # Stored, so that the join reads two plain shuffles and the rows of a large class of copies can be split.
+    least = spool(ids.where("n > 0").groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep")), "least")
     classes = spool(ids.join(least, ["n", "sig1", "sig2"], "left").select("doc_id", "n", "sig1", F.coalesce("rep", "doc_id").alias("rep")), "classes")
     reps = classes.where("n > 0 AND doc_id = rep").select("doc_id", "sig1")
 
