@@ -20,7 +20,7 @@ SPELLINGS = {
     "metadata.embed": ("delimited", "code_block", "html_script", "html_code", "separate"),
     "metadata.format": ("yaml", "json", "toml", "fig"),
     "references.notation": ("markdown", "wikilink", "bare"),
-    "references.path_style": ("root", "relative", "canonical", "bare"),
+    "references.path_style": ("root", "relative"),
     "references.target": ("path", "id", "alias"),
     "relations.cardinality": ("one", "many"),
     "fields.type": ("str", "bool", "int", "float", "date", "datetime", "local-datetime", "time", "ref", "map", "seq"),
