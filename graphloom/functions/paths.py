@@ -53,12 +53,16 @@ def is_alias(target: Column) -> Column:
     return (target != "") & ~target.rlike(r"[/\\]") & ~target.rlike(r"(?s)^.+\.[^.]*$")
 
 
-def is_id(target: Column) -> Column:
-    return target.rlike("^(id|colophon):")
+#: Schemes that mark a target as an id; older ones of a corpus may be added.
+ID_SCHEMES = ("id",)
 
 
-def id_body(target: Column) -> Column:
-    return F.regexp_replace(target, "^(id|colophon):", "")
+def is_id(target: Column, schemes: tuple[str, ...] = ID_SCHEMES) -> Column:
+    return target.rlike(f"^({'|'.join(schemes)}):")
+
+
+def id_body(target: Column, schemes: tuple[str, ...] = ID_SCHEMES) -> Column:
+    return F.regexp_replace(target, f"^({'|'.join(schemes)}):", "")
 
 
 def ascii_lower(c: Column) -> Column:

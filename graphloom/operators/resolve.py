@@ -16,7 +16,7 @@ def title_index(docs: DataFrame) -> DataFrame:
     return names.groupBy("name").agg(F.sort_array(F.collect_set("path")).alias("paths"))
 
 
-def resolve(edges: DataFrame, files: DataFrame, registry: DataFrame | None = None, titles: DataFrame | None = None, workspace_id: str | None = None, valid_id=None) -> DataFrame:
+def resolve(edges: DataFrame, files: DataFrame, registry: DataFrame | None = None, titles: DataFrame | None = None, workspace_id: str | None = None, valid_id=None, id_schemes: tuple[str, ...] = paths.ID_SCHEMES) -> DataFrame:
     """``edges`` (source, target_text, ...) with resolution, to_path, actual, id, tombstoned and candidates.
 
     resolution is one of path, case_mismatch, broken, id, dangling_id, malformed_id, ambiguous_alias, external and foreign. ``files`` has (path);
@@ -28,17 +28,17 @@ def resolve(edges: DataFrame, files: DataFrame, registry: DataFrame | None = Non
     titles = spark.createDataFrame([], "name string, paths array<string>") if titles is None else titles
     bare, locator = paths.split_locator(F.col("target_text"))
     e = edges.withColumns({"__bare": bare, "locator": locator})
-    body = paths.id_body(F.col("__bare"))
+    body = paths.id_body(F.col("__bare"), id_schemes)
     foreign = body.contains("/") & (F.lit(True) if workspace_id is None else F.split(body, "/")[0] != workspace_id)
     own = F.when(body.contains("/") & ~foreign, F.split(body, "/")[1]).otherwise(body)
     kind = (
         F.when(paths.is_external(F.col("target_text")), "external")
-        .when(paths.is_id(F.col("__bare")) & foreign, "foreign")
-        .when(paths.is_id(F.col("__bare")), "id")
+        .when(paths.is_id(F.col("__bare"), id_schemes) & foreign, "foreign")
+        .when(paths.is_id(F.col("__bare"), id_schemes), "id")
         .when(paths.is_alias(F.col("__bare")), "alias")
         .otherwise("path")
     )
-    e = e.withColumns({"__kind": kind, "__id": F.when(paths.is_id(F.col("__bare")), own), "__path": paths.resolve(F.col("source"), F.col("__bare"))})
+    e = e.withColumns({"__kind": kind, "__id": F.when(paths.is_id(F.col("__bare"), id_schemes), own), "__path": paths.resolve(F.col("source"), F.col("__bare"))})
     there = files.select(F.col("path").alias("__path"), F.lit(True).alias("__exact")).distinct()
     folded = files.groupBy(paths.ascii_lower(F.col("path")).alias("__low")).agg(F.max("path").alias("__actual"))
     e = e.join(there, "__path", "left").withColumn("__low", paths.ascii_lower(F.col("__path"))).join(folded, "__low", "left")

@@ -32,8 +32,10 @@ def manifest_diff(listed: DataFrame, found: DataFrame) -> DataFrame:
 
 def manifest_status(diff: DataFrame, listed: DataFrame) -> DataFrame:
     """(listed, missing, extra, hashed): counts, and whether all rows have a hash (true if there are none)."""
-    counted = diff.agg(F.count_if(F.col("status") != "extra").alias("listed"), F.count_if(F.col("status") == "missing").alias("missing"), F.count_if(F.col("status") == "extra").alias("extra"))
-    return counted.crossJoin(listed.agg(F.coalesce(F.every(F.col("hash").isNotNull()), F.lit(True)).alias("hashed")))
+    both = diff.select("status", F.lit(None).cast("boolean").alias("has")).unionByName(listed.select(F.lit(None).cast("string").alias("status"), F.col("hash").isNotNull().alias("has")))
+    count = lambda c, name: F.count_if(c).alias(name)
+    status = F.col("status")
+    return both.agg(count(status != "extra", "listed"), count(status == "missing", "missing"), count(status == "extra", "extra"), F.coalesce(F.every("has"), F.lit(True)).alias("hashed"))
 
 
 def under_prefixes(rows: DataFrame, prefixes: DataFrame, column: str = "path") -> DataFrame:
