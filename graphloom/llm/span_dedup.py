@@ -1,7 +1,8 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into sentences: after ``.``, ``!`` or ``?`` before white space, and at line ends. A sentence of more than LONG words
-is cut further after words whose hash is divisible by CUT, so that a passage has the same cuts wherever it stands.
+A text is cut into sentences: after ``.``, ``!`` or ``?`` before white space, and at line ends. In every window of WINDOW words of a sentence it
+is cut further after the words with the window's least hash, all of them if a word repeats. A cut depends on the words less than WINDOW away alone, and
+no piece has more than WINDOW words, so a run of more than 50 words that stands in two places has at least one full span that is cut alike in both, whatever its words.
 From every sentence starts one span: the shortest run with at least MIN_SENTENCES sentences and MIN_WORDS words. Spans are compared by the 64-bit
 hash of their lower-cased words over all documents. The first occurrence of a span, by doc_id and position, stays;
 the sentences that any later occurrence covers are removed, within one document too.
@@ -23,12 +24,27 @@ from pyspark.sql import types as T
 from . import textkit
 from .common import spool
 
-MIN_SENTENCES, MIN_WORDS, LONG, CUT = 3, 20, 12, 6
+MIN_SENTENCES, MIN_WORDS, WINDOW = 3, 20, 8
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 
 
-def sentences(w: textkit.Words, hashes: np.ndarray, long: int = LONG, cut: int = CUT) -> tuple[np.ndarray, np.ndarray]:
+def window_cuts(sentence: np.ndarray, rank: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Marks the words whose rank is the least of a window of words that lies in one sentence, each of them on ties."""
+    n = len(rank)
+    chosen = np.zeros(n, bool)
+    if n < window:
+        return chosen
+    at = np.flatnonzero(sentence[: n - window + 1] == sentence[window - 1 :])
+    least = rank[at]
+    for j in range(1, window):
+        np.minimum(least, rank[at + j], out=least)
+    for j in range(window):
+        chosen[at[rank[at + j] == least] + j] = True
+    return chosen
+
+
+def sentences(w: textkit.Words, hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(first word, text) of every sentence of a slice."""
     if not len(w.start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -37,11 +53,7 @@ def sentences(w: textkit.Words, hashes: np.ndarray, long: int = LONG, cut: int =
     breaks = np.concatenate([[0], np.cumsum((w.buf == 10) | (w.buf == 13))])
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | _STOP[w.buf[w.end[:-1] - 1]] | (breaks[w.start[1:]] > breaks[w.end[:-1]])
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(doc)))
-    in_long = np.repeat(size > long, size)
-    chosen = in_long & (textkit.mix(hashes) % np.uint64(cut) == 0)
-    new[1:] |= chosen[:-1]
+    new[1:] |= window_cuts(np.cumsum(new), textkit.mix(hashes), window)[:-1]
     first = np.flatnonzero(new)
     return first, doc[first]
 

@@ -248,6 +248,29 @@ def test_spans_of_odd_rows(odd, none):
     assert len({(r["text"], r["n_removed"]) for r in rows if r["doc_id"] == 6}) == 1 and span_dedup.dedup_spans(none).count() == 0
 
 
+@pytest.mark.parametrize("vocabulary", [["of"], ["and"], ["to", "in"], ["a", "of", "and"], None])
+def test_any_run_of_over_50_words_has_a_common_span(spark, vocabulary):
+    r = random.Random(5)
+    word = lambda: f"w{r.randint(0, 10**6)}"
+    rows = []
+    for i in range(40):
+        run = [r.choice(vocabulary) if vocabulary else word() for _ in range(51)]
+        if vocabulary and len(vocabulary) == 1:
+            run = vocabulary * 51
+        if i % 2:  # sentences of any length, cut anywhere by the run's ends
+            for at in range(r.randint(0, 12), 51, r.randint(5, 20)):
+                run[at] += "."
+        texts = [" ".join([word() for _ in range(r.randint(0, 15))] + run + [word() for _ in range(r.randint(0, 15))]) for _ in range(2)]
+        found = []
+        for text in texts:
+            w = textkit.words([text.encode()])
+            found.append(set(span_dedup.spans(*span_dedup.sentences(w, w.hashes()), w.hashes())[2].tolist()))
+        assert found[0] & found[1]
+        rows += [(2 * i, texts[0]), (2 * i + 1, texts[1])]
+    got = span_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(x["n_removed"] > 0 for x in got if x["doc_id"] % 2)
+
+
 # decontamination
 
 
