@@ -3,7 +3,8 @@
 A text is cut into sentences: after ``.``, ``!`` or ``?`` before white space, and at line ends. In every window of WINDOW words of a sentence it
 is cut further after the words with the window's least hash, all of them if a word repeats. A cut depends on the words less than WINDOW away alone, and
 no piece has more than WINDOW words, so a run of more than 50 words that stands in two places has at least one full span that is cut alike in both, whatever its words.
-From every sentence starts one span: the shortest run with at least MIN_SENTENCES sentences and MIN_WORDS words. Spans are compared by the 64-bit
+From every sentence starts one span, the shortest run with at least MIN_SENTENCES sentences and MIN_WORDS words; with ``tails``, which the query sets, at every sentence
+ends one as well, the shortest such run backwards, so that a repeated run is covered up to its last sentence. Spans are compared by the 64-bit
 hash of their lower-cased words over all documents. The first occurrence of a span, by doc_id and position, stays;
 the sentences that any later occurrence covers are removed, within one document too.
 
@@ -25,6 +26,8 @@ from . import textkit
 from .common import spool
 
 MIN_SENTENCES, MIN_WORDS, WINDOW = 3, 20, 8
+#: A span is stored as its first sentence times STEP plus its number of sentences, which is at most that of its words.
+STEP = max(MIN_SENTENCES, MIN_WORDS) + 1
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 
@@ -58,8 +61,9 @@ def sentences(w: textkit.Words, hashes: np.ndarray, window: int = WINDOW) -> tup
     return first, doc[first]
 
 
-def spans(first: np.ndarray, doc: np.ndarray, hashes: np.ndarray, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sentence, sentence after the span, hash) of the span that starts at each sentence that has a full one."""
+def spans(first: np.ndarray, doc: np.ndarray, hashes: np.ndarray, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, tails: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sentence, sentence after the span, hash) of the span that starts at each sentence that has a full one, and with
+    ``tails`` of the one that ends at each, unless it is among the former. No two spans of one start have the same number of sentences."""
     m = len(first)
     if not m:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
@@ -68,6 +72,15 @@ def spans(first: np.ndarray, doc: np.ndarray, hashes: np.ndarray, min_sentences:
     last = np.searchsorted(doc, doc, "right")
     ok = np.flatnonzero(to <= last)
     to = to[ok]
+    if tails:
+        end = np.arange(1, m + 1)
+        start = np.minimum(np.searchsorted(begin, begin[1:] - min_words, "right") - 1, end - min_sentences)
+        more = start >= np.searchsorted(doc, doc)
+        start, end = start[more], end[more]
+        shortest = np.full(m, -1)
+        shortest[ok] = to
+        more = shortest[start] != end
+        ok, to = np.concatenate([ok, start[more]]), np.concatenate([to, end[more]])
     # A polynomial hash of the words by prefix sums; the multiplier's powers are odd, so shifting it is exact modulo 2**64.
     mult, inverse = pow(0x9E3779B97F4A7C15, 1, 1 << 64), pow(0x9E3779B97F4A7C15, -1, 1 << 64)
     n = len(hashes)
@@ -80,20 +93,24 @@ def spans(first: np.ndarray, doc: np.ndarray, hashes: np.ndarray, min_sentences:
     return ok, to, h
 
 
-def _spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, texts in textkit.slices(batch):
-            w = textkit.words(texts)
-            hashes = w.hashes()
-            first, doc = sentences(w, hashes)
-            at, _, h = spans(first, doc, hashes)
-            base = np.searchsorted(doc, np.arange(len(texts)))
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([textkit.int64(h), pa.array(ids[doc[at]] if len(at) else np.zeros(0, np.int64)), pa.array((at - base[doc[at]]).astype(np.int32) if len(at) else np.zeros(0, np.int32))], names=["h", "doc_id", "at"])
+def _spans_of(tails: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in textkit.slices(batch):
+                w = textkit.words(texts)
+                hashes = w.hashes()
+                first, doc = sentences(w, hashes)
+                at, to, h = spans(first, doc, hashes, tails=tails)
+                base = np.searchsorted(doc, np.arange(len(texts)))
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                none = np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([textkit.int64(h), pa.array(ids[doc[at]] if len(at) else none), pa.array((at - base[doc[at]]) * STEP + to - at if len(at) else none)], names=["h", "doc_id", "at"])
+
+    return run
 
 
 def _without(schema: T.StructType):
-    """Rows (documents..., cut: first sentences of repeated spans) with the covered sentences removed."""
+    """Rows (documents..., cut: repeated spans) with the covered sentences removed."""
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,16 +134,13 @@ def _without(schema: T.StructType):
 
 
 def cut_out(text: bytes, cut: list[int]) -> tuple[str, int]:
-    """The text without the sentences that the spans starting at these sentences cover, and their number."""
+    """The text without the sentences that these spans cover, and their number."""
     w = textkit.words([text])
-    hashes = w.hashes()
-    first, doc = sentences(w, hashes)
-    at, to, _ = spans(first, doc, hashes)
-    end = dict(zip(at.tolist(), to.tolist(), strict=True))
+    first, _ = sentences(w, w.hashes())
     gone = np.zeros(len(first) + 1, np.int64)
-    for c in cut:
-        gone[c] += 1
-        gone[end[c]] -= 1
+    at, n = np.divmod(np.array(cut, np.int64), STEP)
+    np.add.at(gone, at, 1)
+    np.add.at(gone, at + n, -1)
     gone = np.cumsum(gone)[:-1] > 0
     begin = np.append(w.start[first], len(text))
     begin[0] = 0
@@ -134,14 +148,14 @@ def cut_out(text: bytes, cut: list[int]) -> tuple[str, int]:
     return b"".join(kept).decode().strip(), int(gone.sum())
 
 
-def dedup_spans(docs: DataFrame) -> DataFrame:
+def dedup_spans(docs: DataFrame, tails: bool = False) -> DataFrame:
     """The documents with ``text`` (and ``n_chars``, if there) shortened and ``n_removed``, the number of sentences removed.
 
-    Two shuffles carry (hash, document, position) of the spans; the texts move once, to meet their cuts. A hash's first occurrence is a
+    With ``tails`` the spans that end at each sentence count too. Two shuffles carry (hash, document, position) of the spans; the texts move once, to meet their cuts. A hash's first occurrence is a
     minimum aggregated before the shuffle, and the join back by hash can be split where a passage is very common.
     """
     docs = docs.drop("n_removed")
-    found = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(_spans_of, "h long, doc_id long, at int")
+    found = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(_spans_of(tails), "h long, doc_id long, at long")
     order = F.struct("doc_id", "at")
     first = found.groupBy("h").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("h", "first")
     first = spool(first, "repeated")  # stored, so that the join below reads two plain shuffles and a hot hash can be split
@@ -153,4 +167,4 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_spans(docs)
+    return dedup_spans(docs, tails=True)

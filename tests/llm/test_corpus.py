@@ -271,6 +271,45 @@ def test_any_run_of_over_50_words_has_a_common_span(spark, vocabulary):
     assert all(x["n_removed"] > 0 for x in got if x["doc_id"] % 2)
 
 
+def brute_tails(rows):
+    """As brute_spans, with the shortest run that ends at each sentence besides the one that starts there."""
+    seen, gone, cut = {}, {}, {}
+    for i, text in rows:
+        w, f = cut[i] = sentences_of(text)
+        m, gone[i] = len(f) - 1, set()
+        full = lambda a, b: b - a >= span_dedup.MIN_SENTENCES and f[b] - f[a] >= span_dedup.MIN_WORDS
+        forward = [(a, next((b for b in range(a, m + 1) if full(a, b)), None)) for a in range(m)]
+        backward = [(next((a for a in range(b, -1, -1) if full(a, b)), None), b) for b in range(1, m + 1)]
+        for a, b in {x for x in forward + backward if None not in x}:
+            seen.setdefault(tuple(w[f[a] : f[b]]), []).append((i, a, b))
+    for found in seen.values():
+        for i, a, b in sorted(found)[1:]:
+            gone[i] |= set(range(a, b))
+    return {i: (len(gone[i]), [w[f[s] : f[s + 1]] for s in range(len(f) - 1) if s not in gone[i]]) for i, (w, f) in cut.items()}
+
+
+def test_repeated_runs_are_removed_to_their_end(spark, tmp_path):
+    r = random.Random(6)
+    sentence = lambda n: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(n))
+    run = ". ".join(map(sentence, (7, 7, 7, 1, 1, 2))) + "."
+    rows = [(1, f"{sentence(7)}. {run} {sentence(30)}"), (2, f"{run} {sentence(25)}")]
+    shared = [[sentence(r.choice([1, 2, 3, 7, 20])) + "." for _ in range(r.randint(3, 12))] for _ in range(6)]
+    for i in range(3, 120):
+        text = [sentence(r.choice([1, 3, 8, 20])) + "." for _ in range(r.randint(0, 8))]
+        for _ in range(r.choice([0, 1, 2])):
+            at = r.randint(0, len(text))
+            text[at:at] = r.choice(shared)
+        rows.append((i, " ".join(text)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in span_dedup.op9_substring_dedup(spark, str(tmp_path)).collect()}
+    expected = brute_tails(rows)
+    assert got[2]["n_removed"] == 6 and got[2]["text"] == rows[1][1][len(run) + 1 :]
+    for i, text in rows:
+        assert got[i]["n_removed"] == expected[i][0] and words(got[i]["text"]) == [w for s in expected[i][1] for w in s]
+        if not expected[i][0]:
+            assert got[i]["text"] == text
+
+
 # decontamination
 
 
