@@ -2,9 +2,10 @@
 
 Two interpolated Kneser-Ney models, one of toxic and one of ordinary texts, spell a word in two steps: its first 5 bytes, and the word given
 those. In each step an n-gram is counted within the class by the texts that hold it, discounted, and backed off to a distribution that both classes
-share: the mean of the classes' shares of the context's texts. The discount is a fixed number of texts and a multiple of what the shared counts expect, so
-a class keeps counts of its own only for expressions that are clearly more common in it; rare expressions, and those that neither class
-has seen, cost both about the same. The stem lets a new form of a known expression count. A text's evidence is
+share, made of the classes' shares of the context's texts. A class keeps counts of its own only for expressions that are clearly more common in it, by one of two discounts:
+a fixed number of texts and a multiple of what the shared counts expect; or the Kneser-Ney discount below one, from the class's counts of counts, and an allowance for what the other
+class's counts expect, which rare expressions of one class pass too. The one with the less logistic loss on the labelled rows that the models have not seen is taken.
+Expressions that pass neither, and those that neither class has seen, cost both about the same. The stem lets a new form of a known expression count. A text's evidence is
 the difference of the two log-likelihoods divided by its number of words; a logistic curve of one variable, fitted on labelled rows that the
 models have not seen, turns it into a score.
 
@@ -32,6 +33,7 @@ STEMS = (5,)  # bytes
 SAMPLE, SAMPLE_BYTES = 3000, 32_768
 FOLDS, HELD_OUT = 5, 0
 DISCOUNT, SHARED_DISCOUNT = 4.0, 1.7  # texts, and times what the shared counts expect
+OTHER_DISCOUNT, SPREAD = 3.0, 3.0  # times what the other class's counts expect, and times the square root of that
 SLICE = 6 << 20
 
 
@@ -108,20 +110,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.bias, -500, 500)))
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
-    """The two models' ratio tables, without the curve."""
-    each = [count_grams(toxic), count_grams(ordinary)]
+def fit(each: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rare: bool = False) -> Model:
+    """The two models' ratio tables, without the curve, from the counts of toxic and ordinary texts; ``rare`` selects the second discount."""
     context, code, _ = (np.concatenate(x) for x in zip(*each, strict=True))
     codes, first = np.unique(code, return_index=True)
     table, context_of = np.unique(context[first], return_inverse=True)
     counts = [np.bincount(np.searchsorted(codes, own), n, minlength=len(codes)) for _, own, n in each]
     totals = [np.bincount(context_of, c, minlength=len(table))[context_of] for c in counts]
-    # Shared by both classes: the mean share of a context's texts that continue it by this n-gram.
-    shares = [np.where(t > 0, c / np.maximum(t, 1), 0) for c, t in zip(counts, totals, strict=True)]
-    shared = sum(shares) / np.maximum(sum((t > 0).astype(float) for t in totals), 1)
+    if rare:
+        # Shared by both classes: the share of a context's texts, of either class, that continue it by this n-gram.
+        shared = sum(counts) / np.maximum(sum(totals), 1)
+    else:
+        # Shared by both classes: the mean share of a context's texts that continue it by this n-gram.
+        shares = [np.where(t > 0, c / np.maximum(t, 1), 0) for c, t in zip(counts, totals, strict=True)]
+        shared = sum(shares) / np.maximum(sum((t > 0).astype(float) for t in totals), 1)
     logs, backs = [], []
-    for c, total in zip(counts, totals, strict=True):
-        kept = np.maximum(c - DISCOUNT - SHARED_DISCOUNT * total * shared, 0)
+    for c, total, other, rest in zip(counts, totals, counts[::-1], totals[::-1], strict=True):
+        if rare:
+            once, twice = ((c == k).sum() for k in (1, 2))
+            expected = total * (other + 1) / np.maximum(rest, 1)
+            discount = once / max(once + 2 * twice, 1) + OTHER_DISCOUNT * expected + SPREAD * np.sqrt(expected)
+        else:
+            discount = DISCOUNT + SHARED_DISCOUNT * total * shared
+        kept = np.maximum(c - discount, 0)
         left = np.bincount(context_of, c - kept, minlength=len(table)) / np.maximum(np.bincount(context_of, c, minlength=len(table)), 1)
         weight = np.where(np.bincount(context_of, c, minlength=len(table)) > 0, np.maximum(left, 1e-6), 1.0)
         logs.append(np.log(kept / np.maximum(total, 1) + weight[context_of] * shared))
@@ -129,6 +140,25 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     return Model(codes, (logs[0] - logs[1]).astype(np.float32), table, (backs[0] - backs[1]).astype(np.float32))
 
 
+def learn(each: dict[int, list[bytes]], n_labels: dict[int, int]) -> Model:
+    """The model of the labelled texts of both classes; every fourth text fits the curve and chooses the discount."""
+    counts = [count_grams([t for i, t in enumerate(each[k]) if i % 4]) for k in (1, 0)]
+    check = {k: v[::4] for k, v in each.items()}
+    y = np.concatenate([np.ones(len(check[1])), np.zeros(len(check[0]))])
+    # The classes count as often as they are among the labels.
+    weight = np.where(y == 1, n_labels[1] / len(check[1]), n_labels[0] / len(check[0]))
+    weight /= weight.mean()
+    best, least = None, np.inf
+    for rare in (False, True):
+        model = fit(counts, rare)
+        x = np.concatenate([model.evidence(check[1]), model.evidence(check[0])])
+        model.slope, model.bias = fit_curve(x, y, weight)
+        loss = float((weight * np.logaddexp(0, (1 - 2 * y) * (model.slope * x + model.bias))).sum())
+        if best is None or loss < least:
+            best, least = model, loss
+    return best
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
     """Logistic regression of one variable by Newton's method."""
     scale = max(float(np.abs(x).mean()), 1e-9)
@@ -162,16 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     empty = Model(np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, np.uint64), np.zeros(0, np.float32))
     if min(map(len, each.values())) < 4:
         return empty
-    learn = {k: [t for i, t in enumerate(v) if i % 4] for k, v in each.items()}
-    model = fit(learn[1], learn[0])
-    check = {k: model.evidence(v[::4]) for k, v in each.items()}
-    x = np.concatenate([check[1], check[0]])
-    y = np.concatenate([np.ones(len(check[1])), np.zeros(len(check[0]))])
-    # The classes count as often as they are among the labels.
-    share = {k: n_labels[k] / len(check[k]) for k in (1, 0)}
-    weight = np.where(y == 1, share[1], share[0])
-    model.slope, model.bias = fit_curve(x, y, weight / weight.mean())
-    return model
+    return learn(each, n_labels)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

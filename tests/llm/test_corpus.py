@@ -108,6 +108,25 @@ def test_labels_of_held_out_rows_are_never_used(labelled):
     assert a.codes.tolist() == b.codes.tolist() and (a.slope, a.bias) == (b.slope, b.bias)
 
 
+def test_expressions_of_few_texts_count(spark):
+    r = random.Random(8)
+    common = [f"{a}{b}{c}" for a in "ka lo mi nu pe".split() for b in "ra so ti wu".split() for c in "ba de fi".split()]
+    bad = ["grommel", "fnarkish", "snortle", "blighter"]
+    docs, labels = [], []
+    for i in range(400):
+        text = [r.choice(common) for _ in range(r.randint(20, 60))]
+        if i % 8 == 0:  # no bad word is in 27 texts of the sample
+            for _ in range(2):
+                text.insert(r.randrange(len(text)), r.choice(bad))
+        docs.append((i, " ".join(text)))
+        labels.append((i, int(i % 8 == 0)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    rows = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id").where(toxicity.fold_of(F.col("doc_id")) == 0).collect()
+    found = [r["predicted"] for r in rows if r["toxic"]]
+    assert len(found) >= 5 and sum(found) / len(found) > 0.7
+    assert sum(r["predicted"] for r in rows if not r["toxic"]) <= 2
+
+
 def test_toxicity_of_odd_rows(spark, odd, none, labelled):
     model = toxicity.train(*labelled)
     rows = toxicity.score(odd.withColumnRenamed("lang", "score"), model).collect()
