@@ -31,6 +31,15 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def one_per(df: DataFrame, key: str) -> DataFrame:
     """One row for each value of the key (repeated rows of an id count once); null keys go."""
     return df.where(F.col(key).isNotNull()).dropDuplicates([key])

@@ -217,24 +217,32 @@ def test_long_runs_are_cut():
 
 def sentences_of(text):
     w = textkit.words([text.encode()])
-    first, _ = span_dedup.sentences(w, w.hashes())
-    return words(text), [*first.tolist(), len(w.start)]
+    first, _, whole = span_dedup.sentences(w, w.hashes())
+    n = len(first)
+    return words(text), [*first.tolist(), len(w.start)], [*(i for i in range(n) if whole[i]), n]
+
+
+def short_runs(f, starts):
+    """Runs of whole sentences that have fewer words than a span of pieces."""
+    k = span_dedup.MIN_SENTENCES
+    return {(a, b) for a, b in zip(starts, starts[k:], strict=False) if f[b] - f[a] < span_dedup.MIN_WORDS}
 
 
 def brute_spans(rows):
     """Sentences removed from each (doc_id, text) by comparing word tuples."""
     seen, out = {}, {}
     for i, text in sorted((i, t or "") for i, t in rows):
-        w, f = sentences_of(text)
-        gone = set()
+        w, f, starts = sentences_of(text)
+        gone, runs = set(), short_runs(f, starts)
         for a in range(len(f) - 1):
             b = a + span_dedup.MIN_SENTENCES
             while b < len(f) and f[b] - f[a] < span_dedup.MIN_WORDS:
                 b += 1
             if b < len(f):
-                key = tuple(w[f[a] : f[b]])
-                if seen.setdefault(key, (i, a)) != (i, a):
-                    gone |= set(range(a, b))
+                runs.add((a, b))
+        for a, b in sorted(runs):
+            if seen.setdefault(tuple(w[f[a] : f[b]]), (i, a)) != (i, a):
+                gone |= set(range(a, b))
         out[i] = (len(gone), [w[f[s] : f[s + 1]] for s in range(len(f) - 1) if s not in gone])
     return out
 
@@ -267,6 +275,19 @@ def test_spans_of_odd_rows(odd, none):
     assert len({(r["text"], r["n_removed"]) for r in rows if r["doc_id"] == 6}) == 1 and span_dedup.dedup_spans(none).count() == 0
 
 
+def test_three_short_sentences_are_a_span(spark):
+    rows = [(1, "Yes. No. Well. Then something else came of it"), (2, "It began. Yes. No. Well. And it went on"), (3, "Yes. No. And it went elsewhere")]
+    got = {x["doc_id"]: (x["text"], x["n_removed"]) for x in span_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("It began. And it went on", 3), 3: (rows[2][1], 0)}
+
+
+def test_ids_with_several_texts_are_cut_row_by_row(spark):
+    rows = [(1, PASSAGE), (2, "Some words before. " + PASSAGE), (2, "Short text. Only two."), (2, PASSAGE), (2, PASSAGE), (None, PASSAGE)]
+    docs = spark.createDataFrame([(i, t, "a", "b", len(t)) for i, t in rows], "doc_id long, text string, __cut string, cut_id string, n_chars long")
+    got = collections.Counter((r["doc_id"], r["text"], r["n_removed"] > 0, r["__cut"], r["n_chars"] == len(r["text"])) for r in span_dedup.dedup_spans(docs, tails=True).collect())
+    assert got == collections.Counter({(1, PASSAGE, False, "a", True): 1, (2, "Some words before.", True, "a", True): 1, (2, "Short text. Only two.", False, "a", True): 1, (2, "", True, "a", True): 2, (None, PASSAGE, False, "a", True): 1})
+
+
 @pytest.mark.parametrize("vocabulary", [["of"], ["and"], ["to", "in"], ["a", "of", "and"], None])
 def test_any_run_of_over_50_words_has_a_common_span(spark, vocabulary):
     r = random.Random(5)
@@ -283,7 +304,8 @@ def test_any_run_of_over_50_words_has_a_common_span(spark, vocabulary):
         found = []
         for text in texts:
             w = textkit.words([text.encode()])
-            found.append(set(span_dedup.spans(*span_dedup.sentences(w, w.hashes()), w.hashes())[2].tolist()))
+            first, doc, _ = span_dedup.sentences(w, w.hashes())
+            found.append(set(span_dedup.spans(first, doc, w.hashes())[2].tolist()))
         assert found[0] & found[1]
         rows += [(2 * i, texts[0]), (2 * i + 1, texts[1])]
     got = span_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -294,12 +316,13 @@ def brute_tails(rows):
     """As brute_spans, with the shortest run that ends at each sentence besides the one that starts there."""
     seen, gone, cut = {}, {}, {}
     for i, text in rows:
-        w, f = cut[i] = sentences_of(text)
+        w, f, starts = sentences_of(text)
+        cut[i] = w, f
         m, gone[i] = len(f) - 1, set()
         full = lambda a, b: b - a >= span_dedup.MIN_SENTENCES and f[b] - f[a] >= span_dedup.MIN_WORDS
         forward = [(a, next((b for b in range(a, m + 1) if full(a, b)), None)) for a in range(m)]
         backward = [(next((a for a in range(b, -1, -1) if full(a, b)), None), b) for b in range(1, m + 1)]
-        for a, b in {x for x in forward + backward if None not in x}:
+        for a, b in {x for x in forward + backward if None not in x} | short_runs(f, starts):
             seen.setdefault(tuple(w[f[a] : f[b]]), []).append((i, a, b))
     for found in seen.values():
         for i, a, b in sorted(found)[1:]:
