@@ -9,10 +9,11 @@ of each term's greatest impact in each block of items, plus what the most freque
 whose bound reaches the threshold in some block are searched by block-max WAND; all items above the threshold are retrieved. An item
 is a hit if the passage holds enough of the 5-word shingles of its question, and of its answer: its last sentence, or its last quarter if it has only one.
 
-The index is a broadcast of bounded size: benchmarks of more than INDEX_BYTES are searched in parts. No documents are shuffled.
+The index is a broadcast of bounded size: a benchmark of more than PART_WORDS words is searched in parts, which are built, sent and searched one after the other. N, the mean length, the stride and the
+document frequencies are those of the whole benchmark, counted by distributed aggregates, so the number of parts changes no passage, score or hit. No documents are shuffled.
 
 Defined cases: null and empty texts have no passages; items without words are never hit; items shorter than a shingle are compared as one whole sequence; repeated items and documents give
-repeated rows of a hit; other columns are ignored by ``hits`` and kept by ``decontaminate``.
+repeated rows of a hit; very long texts are read whole, passage by passage, and a single item of more than PART_WORDS words is a part by itself; other columns, of any name, are ignored by ``hits`` and kept by ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import math
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
+from .common import spool
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
 LEAST_STRIDE, BLOCKS = 32, 64
 COMMON_SHARE = 0.25  # of an item's weight that the terms outside the block bounds may make up at most
-INDEX_BYTES = 64 << 20
+PART_WORDS = 250_000  # of an index that travels to the tasks: some 64 MB of block bounds at most, and as much of postings
 
 
 def _item_words(text: bytes) -> tuple[np.ndarray, int]:
@@ -57,10 +60,21 @@ class Posting:
     most: float
 
 
+@dataclass(frozen=True)
+class Totals:
+    """Statistics of the whole benchmark: its items with words, their mean and greatest length, and how many hold each of some terms."""
+
+    n: int
+    mean: float
+    longest: int
+    terms: np.ndarray  # sorted
+    df: np.ndarray
+
+
 class Index:
-    """An inverted index of items with impacts in blocks."""
+    """An inverted index of items with impacts in blocks; ``totals`` are given if the items are a part of the benchmark."""
 
-    def __init__(self, items: list[tuple[int, str | None]], blocks: int = BLOCKS):
+    def __init__(self, items: list[tuple[int, str | None]], blocks: int = BLOCKS, totals: Totals | None = None):
         self.ids, self.parts, bags = [], [], []
         for item, text in sorted(((i, t) for i, t in items if i is not None), key=lambda x: x[0]):
             h, answer = _item_words((text or "").encode())
@@ -69,17 +83,21 @@ class Index:
                 self.parts.append((h[:answer], h[answer:]))
                 bags.append(h)
         n = len(bags)
-        self.stride = max([LEAST_STRIDE, *map(len, bags)])
+        self.stride = max([LEAST_STRIDE, *map(len, bags)]) if totals is None else max(LEAST_STRIDE, totals.longest)
         self.per_block = max(1, -(-n // blocks))
         self.blocks = max(1, -(-n // self.per_block))
-        mean = sum(map(len, bags)) / max(1, n)
+        mean = sum(map(len, bags)) / max(1, n) if totals is None else totals.mean
         rows = []
         for i, h in enumerate(bags):
             terms, tf = np.unique(h, return_counts=True)
             rows.append((terms, np.full(len(terms), i), tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(h) / mean))))
         terms, owner, weight = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
         self.terms, of, df = np.unique(terms, return_inverse=True, return_counts=True)
-        weight = weight * np.log(1 + (n - df + 0.5) / (df + 0.5))[of]
+        if totals is None:
+            all_items, all_df = n, df
+        else:
+            all_items, all_df = totals.n, totals.df[np.searchsorted(totals.terms, self.terms)]
+        weight = weight * np.log(1 + (all_items - all_df + 0.5) / (all_df + 0.5))[of]
         weight = weight / np.bincount(owner, weight, minlength=max(1, n))[owner]
         order = np.lexsort((owner, of))
         owner, weight, of = owner[order], weight[order], of[order]
@@ -206,18 +224,45 @@ class Index:
         return out
 
 
-def _indexes(benchmark: DataFrame) -> list[Index]:
-    """Indexes of bounded size; one unless the items have more than INDEX_BYTES."""
-    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, math.ceil(total / INDEX_BYTES))
-    return [Index([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).collect()]) for p in range(parts)]
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, words, term): a row for each distinct word of an item, and one with a null term for the item."""
+    for batch in batches:
+        for part, texts in textkit.slices(batch):
+            w = textkit.words(texts, textkit.PUNCTUATION)
+            h, n = w.hashes(), np.diff(w.first)
+            some = np.flatnonzero(n)
+            bags = [np.unique(h[w.first[i] : w.first[i + 1]]) for i in some]
+            row = np.concatenate([some, np.repeat(some, [len(x) for x in bags])]).astype(np.int64)
+            terms = pa.concat_arrays([pa.nulls(len(some), pa.int64()), textkit.int64(np.concatenate(bags) if bags else np.zeros(0, np.uint64))])
+            yield pa.RecordBatch.from_arrays([part.column("item_id").take(pa.array(row)), pa.array(n[row]), terms], names=["item_id", "words", "term"])
+
+
+def _indexes(benchmark: DataFrame, part_words: int | None = None) -> Iterator[Index]:
+    """Indexes of bounded size, one at a time; one alone unless the items have more than ``part_words`` words."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id IS NOT NULL")
+    rows = items.mapInArrow(_item_terms, "item_id long, words long, term long")
+    n, words, longest = rows.where("term IS NULL").agg(F.count(F.lit(1)), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("words"), F.lit(0))).first()
+    parts = max(1, math.ceil(words / (part_words or PART_WORDS)))
+    if parts == 1:
+        yield Index([tuple(r) for r in items.collect()])
+        return
+    in_part = lambda p: F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p
+    rows = spool(rows.where("term IS NOT NULL").select("item_id", "term"), "item-terms")
+    df = spool(rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "item-df")
+    for p in range(parts):
+        own = rows.where(in_part(p)).select("term").distinct().join(df, "term").toArrow()
+        terms, counts = own.column("term").to_numpy().view(np.uint64), own.column("df").to_numpy()
+        order = np.argsort(terms)
+        yield Index([tuple(r) for r in items.where(in_part(p)).collect()], totals=Totals(n, words / n, longest, terms[order], counts[order]))
+
+
+_HITS = "doc_id long, item_id long, n_passages long, score double, question_overlap double, answer_overlap double"
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, part_words: int | None = None) -> DataFrame:
     """(doc_id, item_id, n_passages, score, question_overlap, answer_overlap): a row for each document and item that it holds."""
-    out = None
-    for index in _indexes(benchmark):
+    found = []
+    for index in _indexes(benchmark, part_words):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -232,14 +277,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, ov
                     names = ["doc_id", "item_id", "n_passages", "score", "question_overlap", "answer_overlap"]
                     yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=names)
 
-        found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, n_passages long, score double, question_overlap double, answer_overlap double")
-        out = found if out is None else out.unionByName(found)
-    return out
+        if found:  # of several parts each is searched before the next one is built
+            found[-1] = spool(found[-1], "hits")
+        found.append(docs.select("doc_id", "text").mapInArrow(run, _HITS))
+    return reduce(DataFrame.unionByName, found)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, part_words: int | None = None) -> DataFrame:
     """The documents that hold no item of the benchmark, unchanged; decided within the scan, so that no document moves."""
-    for index in _indexes(benchmark):
+    for i, index in enumerate(_indexes(benchmark, part_words)):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -247,7 +293,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
                     bad = {x[0] for x in index.hits(texts, threshold, overlap)}
                     yield part.filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = (spool(docs, "clean") if i else docs).mapInArrow(run, docs.schema)
     return docs
 
 

@@ -383,6 +383,20 @@ def test_wand_retrieves_all_above_the_threshold(items):
     assert n_found > 200
 
 
+def test_the_number_of_parts_changes_no_hit(spark, items):
+    r = random.Random(13)
+    filler = lambda: " ".join(r.choice("ga be ru lo mi ta".split()) + str(r.randint(0, 300)) for _ in range(r.randint(0, 120)))
+    docs = [(i, filler() + " " + r.choice(items)[1] + " " + filler()) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([*items, items[0], (10_000, None), (10_001, " ")], "item_id long, text string")
+    total = sum(len(words(t)) for _, t in items)
+    row = lambda x: (x["doc_id"], x["item_id"], x["n_passages"], round(x["score"], 12), x["question_overlap"], x["answer_overlap"])
+    one, many = (sorted(row(x) for x in decontaminate.hits(df, bench, part_words=n).collect()) for n in (10 * total, total // 4))
+    assert one == many and len(one) >= 60
+    kept = [sorted(x["doc_id"] for x in decontaminate.decontaminate(df, bench, part_words=n).collect()) for n in (10 * total, total // 4)]
+    assert kept[0] == kept[1]
+
+
 def test_hits_equal_brute_force(spark, items):
     r = random.Random(9)
     docs = []
@@ -415,7 +429,7 @@ def test_hits_equal_brute_force(spark, items):
 def test_decontamination_of_odd_rows(spark, odd, none, monkeypatch):
     bench = spark.createDataFrame([(1, PASSAGE), (2, "no id at all, but some words in it"), (2, "no id at all, but some words in it")], "item_id long, text string")
     for limit in (1 << 26, 10):
-        monkeypatch.setattr(decontaminate, "INDEX_BYTES", limit)
+        monkeypatch.setattr(decontaminate, "PART_WORDS", limit)
         kept = sorted(str(r["doc_id"]) for r in decontaminate.decontaminate(odd, bench).collect())
         assert kept == sorted(map(str, (1, 2, 3, 4, 7, 8)))
         assert decontaminate.hits(none, bench).count() == 0
