@@ -5,8 +5,9 @@ another one. The distributed connected components of these links are classes of
 rule's verdict. Any other page takes its class's verdict: allow if a member of the class has an allow rule, else block if
 a member has a block rule, else allow.
 
-Defined cases: a null URL, or one without ``://``, has an empty host and path and fits no rule; a null html has no links;
-equal URLs are one node; relative link targets are resolved against the page's URL; rows without an id are kept.
+Defined cases: a null URL, or one without ``://``, has an empty host and path and fits no rule; a null html has no links; tags inside comments, scripts, styles,
+text areas and code are no links; equal URLs are one node; relative link targets are resolved against the page's URL; rows without an id and repeated rows are kept; very long pages are read whole. Input columns named host,
+path, rule, verdict or alias_class are replaced, all others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components
+from .common import components, fresh
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,6 +66,8 @@ def node_of(url: Column) -> Column:
     return F.concat(F.translate(head, UPPER, LOWER), F.regexp_replace(bare, r"(?s)^.*?://[^/?]*", ""))
 
 
+#: What holds no tags of the page: comments and raw text, each up to its end or the page's.
+_DEAD = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script|\z)|<style\b.*?(?:</style|\z)|<textarea\b.*?(?:</textarea|\z)|<pre\b.*?(?:</pre|\z)|<code\b.*?(?:</code|\z)"
 _TAG = r"(?is)<(?:link|meta)\b[^>]*>"
 _HREF = r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
 _REFRESH = r"(?is)\bcontent\s*=\s*[\"']?\s*[0-9.]+\s*;\s*url\s*=\s*[\"']?\s*([^\"'\s>]+)"
@@ -72,7 +75,7 @@ _REFRESH = r"(?is)\bcontent\s*=\s*[\"']?\s*[0-9.]+\s*;\s*url\s*=\s*[\"']?\s*([^\
 
 def links(pages: DataFrame) -> DataFrame:
     """(url, target): the redirect and canonical-link edges of the pages, as nodes."""
-    tags = pages.select("url", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_TAG), 0)).alias("tag"))
+    tags = pages.select("url", F.explode(F.regexp_extract_all(F.regexp_replace(F.coalesce("html", F.lit("")), _DEAD, " "), F.lit(_TAG), 0)).alias("tag"))
     low = F.lower("tag")
     raw = F.when(low.rlike(r"(?s)^<link\b.*\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"), F.regexp_extract("tag", _HREF, 1)).when(
         low.rlike(r"(?s)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b"), F.regexp_extract("tag", _REFRESH, 1)
@@ -94,17 +97,19 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, extra_links: DataFr
     edges = links(pages.select("url", "html"))
     if extra_links is not None:
         edges = edges.unionByName(extra_links.select(node_of(F.col("url")).alias("url"), node_of(F.col("target")).alias("target")))
-    judged = pages.drop("html").withColumns({"__node": node_of(F.coalesce("url", F.lit(""))), "host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    judged = judged.withColumn("__fit", fitting_rule(F.col("host"), F.col("path"), rules))
+    pages = pages.drop("html", "host", "path", "rule", "verdict", "alias_class")
+    node, fit, of_class, at = (fresh(pages, n) for n in ("node", "fit", "class", "at"))
+    judged = pages.withColumns({node: node_of(F.coalesce("url", F.lit(""))), "host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    judged = judged.withColumn(fit, fitting_rule(F.col("host"), F.col("path"), rules))
     alias = components(edges)
     known = alias.select("node", "component", fitting_rule(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"].alias("v"))
     # Aliases that are no pages count as members too, for their URL alone says which rule fits.
     classes = known.groupBy("component").agg(F.bool_or(F.col("v") == "allow").alias("allowed"), F.bool_or(F.col("v") == "block").alias("blocked"))
     by_class = alias.join(classes, "component").select(
-        F.col("node").alias("__node"), F.when(F.coalesce("allowed", F.lit(False)), "allow").when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow").alias("__class"), F.col("component").alias("alias_class")
+        F.col("node").alias(at), F.when(F.coalesce("allowed", F.lit(False)), "allow").when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow").alias(of_class), F.col("component").alias("alias_class")
     )
-    out = judged.join(by_class, "__node", "left")
-    return out.withColumns({"rule": F.col("__fit.rule"), "verdict": F.coalesce("__fit.verdict", "__class", F.lit("allow"))}).drop("__node", "__fit", "__class")
+    out = judged.join(by_class, F.col(node) == F.col(at), "left")
+    return out.withColumns({"rule": F.col(fit)["rule"], "verdict": F.coalesce(F.col(fit)["verdict"], of_class, F.lit("allow"))}).drop(node, fit, of_class, at)
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +124,7 @@ WITH RECURSIVE p AS (
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
     regexp_replace(coalesce(url, ''), '(?s)#.*$', '') AS bare FROM pages),
 n AS (SELECT *, translate(regexp_extract(bare, '(?s)^(.*?://[^/?]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_replace(bare, '(?s)^.*?://[^/?]*', '') AS node FROM p),
-t AS (SELECT node, url, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM n WHERE url LIKE '%://%'),
+t AS (SELECT node, url, unnest(regexp_extract_all(regexp_replace(coalesce(html, ''), '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script|\z)|<style\b.*?(?:</style|\z)|<textarea\b.*?(?:</textarea|\z)|<pre\b.*?(?:</pre|\z)|<code\b.*?(?:</code|\z)', ' ', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM n WHERE url LIKE '%://%'),
 r AS (SELECT node, url, replace(CASE
     WHEN regexp_matches(lower(tag), '(?s)^<link\b.*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1)
     WHEN regexp_matches(lower(tag), '(?s)^<meta\b.*\bhttp-equiv\s*=\s*["'']?\s*refresh\b') THEN regexp_extract(tag, '(?is)\bcontent\s*=\s*["'']?\s*[0-9.]+\s*;\s*url\s*=\s*["'']?\s*([^"''\s>]+)', 1)
