@@ -1,73 +1,75 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated Kneser-Ney models, one of toxic and one of ordinary texts, spell a word in two steps: its first 5 bytes, and the word given
-those. In each step an n-gram is counted within the class by the texts that hold it, discounted, and backed off to a distribution that both classes
-share, made of the classes' shares of the context's texts. A class keeps counts of its own only for expressions that are clearly more common in it, by one of two discounts:
-a fixed number of texts and a multiple of what the shared counts expect; or the Kneser-Ney discount below one, from the class's counts of counts, and an allowance for what the other
-class's counts expect, which rare expressions of one class pass too. The one with the less logistic loss on the labelled rows that the models have not seen is taken.
-Expressions that pass neither, and those that neither class has seen, cost both about the same. The stem lets a new form of a known expression count. A text's evidence is
-the difference of the two log-likelihoods divided by its number of words; a logistic curve of one variable, fitted on labelled rows that the
-models have not seen, turns it into a score.
-
-Training takes at most SAMPLE labelled rows of each class, chosen by a hash of doc_id, of texts up to SAMPLE_BYTES; nothing else
+Two interpolated Kneser-Ney models over word n-grams, one of toxic and one of ordinary texts. A word after the one before it is backed off to the word alone, which is spelled in two steps, its first
+5 bytes and the word given those, so that a new form of a known expression counts; each step is backed off to counts that both classes share: in how many different places (after how many different words, in texts of
+either class) the word, or its stem, stands. An n-gram is counted within the class by the texts that hold it. Discounts, one each for counts of 1, 2 and more, are estimated from the class's counts of counts.
+Rare expressions that the classes don't tell apart are pruned, as is usual for Kneser-Ney models: an n-gram whose log-likelihood ratio statistic (texts that hold it, by class) is below a threshold
+gives all its mass to the backoff in both models, so it is smoothed by the shared counts alone. The threshold is chosen by the logistic loss on labelled texts that the models have not seen (FOLDS_OF_FIT folds).
+A text's evidence is the difference of the two log-likelihoods divided by its number of words; a logistic curve of one variable, fitted on unseen labelled rows too, turns it into a score.
+
+Training takes labelled rows of each class in the order of a hash of doc_id, at most SAMPLE, while their texts together have at most SAMPLE_BYTES; a text of any length may be among them. Nothing else
 is sampled. The models are tables of bounded size, since the sample is; every whole text is scored in one pass without a shuffle.
 
 Defined cases: null and empty texts, and texts without words, have the evidence of a word that neither class has seen; rows without an id are scored and
-not held out; labels that are null, or of ids without a text, are ignored; without rows of both classes every score is 0.
+not held out; labels that are null, or of ids without a text, are ignored; of several texts of a labelled id the least is learnt from; repeated rows are scored each by itself, all alike; very long texts are scored whole; input columns named
+score, predicted or evidence are replaced, all others pass through; without rows of both classes every score is 0.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit
 
-STEMS = (5,)  # bytes
-SAMPLE, SAMPLE_BYTES = 3000, 32_768
+STEM = 5  # bytes
+SAMPLE, SAMPLE_BYTES = 3000, 16 << 20
 FOLDS, HELD_OUT = 5, 0
-DISCOUNT, SHARED_DISCOUNT = 4.0, 1.7  # texts, and times what the shared counts expect
-OTHER_DISCOUNT, SPREAD = 3.0, 3.0  # times what the other class's counts expect, and times the square root of that
+FOLDS_OF_FIT = 4
+THRESHOLDS = (8.0, 16.0, 24.0, 32.0, 48.0, 64.0, 96.0, 128.0, 192.0)
 SLICE = 6 << 20
 
 
+def _none() -> np.ndarray:
+    return np.zeros(0, np.uint64)
+
+
 def fold_of(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(FOLDS))
 
 
-def grams(w: textkit.Words, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(context, n-gram) codes of the words ``at`` for each step: the stem, and the word given its stem."""
-    out, before = [], np.zeros(len(at), np.uint64)
-    for step, most in enumerate((*STEMS, None)):
-        start, end = w.start[at], w.end[at]
-        symbol = textkit.hash_spans(w.buf, start, end if most is None else np.minimum(end, start + most))
-        out.append((textkit.fold([before], step), textkit.fold([before, symbol], step)))
-        before = symbol
-    return out
-
-
-def count_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, n-gram, texts that hold it) of a class's n-grams. An n-gram counts once for each text and word,
-    so that a text that repeats itself isn't many witnesses."""
-    have = np.zeros((2, 0), np.uint64)
-    n = np.zeros(0, np.int64)
-    for a in range(0, len(texts), 200):
-        w = textkit.words(texts[a : a + 200], textkit.PUNCTUATION)
+def stem_code(stem: np.ndarray) -> np.ndarray:
+    return textkit.fold([stem], 1)
+
+
+def word_code(stem: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return textkit.fold([stem, word], 2)
+
+
+def pair_code(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return textkit.fold([before, word], 3)
+
+
+class Tokens:
+    """The words of some texts: each different word once, with its stem, and where they stand."""
+
+    def __init__(self, texts: list[bytes]):
+        w = textkit.words(texts, textkit.PUNCTUATION)
+        self.first, self.doc = w.first, w.doc
         h = w.hashes()
-        for context, code in grams(w, np.arange(len(h))):
-            once = np.unique(textkit.fold([code, h, w.doc.astype(np.uint64)]), return_index=True)[1]
-            have = np.concatenate([have, [context[once], code[once]]], 1)
-            n = np.concatenate([n, np.ones(len(once), np.int64)])
-        _, index, of = np.unique(have[1], return_index=True, return_inverse=True)
-        n = np.bincount(of, n, minlength=len(index)).astype(np.int64)
-        have = have[:, index]
-    return have[0], have[1], n
+        self.word, at, self.of = np.unique(h, return_index=True, return_inverse=True)
+        self.stem = textkit.hash_spans(w.buf, w.start[at], np.minimum(w.end[at], w.start[at] + STEM))
+        # The word before, 0 at a text's begin.
+        self.before = np.zeros(len(h), np.uint64)
+        self.before[1:] = h[:-1]
+        self.before[w.first[:-1][np.diff(w.first) > 0]] = 0
+        self.n = np.diff(w.first)
 
 
 def _at(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,101 +79,202 @@ def _at(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, table[i] == keys
 
 
+def _lookup(table: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    i, there = _at(table, keys)
+    return np.where(there, values[i], 0.0) if len(table) else np.zeros(len(keys))
+
+
 @dataclass
 class Model:
-    """Log-likelihood ratios of n-grams, of contexts whose n-gram neither class has seen, and the logistic curve."""
-
-    codes: np.ndarray
-    ratio: np.ndarray
-    contexts: np.ndarray
-    backoff: np.ndarray
+    """Log-likelihood ratios of the n-grams that are kept, of contexts by which the others are backed off, and the logistic curve."""
+
+    codes: np.ndarray = field(default_factory=_none)  # of stems and of words given their stems
+    ratio: np.ndarray = field(default_factory=_none)
+    root: float = 0.0  # of a stem that is not kept
+    stems: np.ndarray = field(default_factory=_none)  # contexts of words
+    of_stem: np.ndarray = field(default_factory=_none)
+    pairs: np.ndarray = field(default_factory=_none)  # of a word after another: the whole ratio
+    of_pair: np.ndarray = field(default_factory=_none)
+    befores: np.ndarray = field(default_factory=_none)  # contexts of pairs
+    of_before: np.ndarray = field(default_factory=_none)
     slope: float = 0.0
     bias: float = -40.0
 
     def evidence(self, texts: list[bytes]) -> np.ndarray:
         """Toxic minus ordinary log-likelihood, per word."""
-        w = textkit.words(texts, textkit.PUNCTUATION)
-        n = np.diff(w.first)
-        root, known = _at(self.contexts, textkit.fold([np.zeros(1, np.uint64)], 0))
-        unseen = float(self.backoff[root[0]]) if known[0] else 0.0
-        if not len(w.start):
-            return np.full(len(texts), unseen)
-        _, first, of = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        word = np.zeros(len(first))
-        for context, code in grams(w, first):
-            i, seen = _at(self.codes, code)
-            c, known = _at(self.contexts, context)
-            if len(self.codes):
-                word += np.where(seen, self.ratio[i], np.where(known, self.backoff[c], 0))
-        total = np.concatenate([[0], np.cumsum(word[of])])
-        return np.where(n > 0, (total[w.first[1:]] - total[w.first[:-1]]) / np.maximum(n, 1), unseen)
+        return self.of_tokens(Tokens(texts))
+
+    def of_tokens(self, t: Tokens) -> np.ndarray:
+        if not len(t.word):
+            return np.full(len(t.n), self.root)
+        i, kept = _at(self.codes, stem_code(t.stem))
+        word = np.where(kept, self.ratio[i], self.root) if len(self.codes) else np.full(len(t.word), self.root)
+        i, kept = _at(self.codes, word_code(t.stem, t.word))
+        word += np.where(kept, self.ratio[i] if len(self.codes) else 0.0, _lookup(self.stems, self.of_stem, t.stem))
+        value = word[t.of]
+        # Only after words that are contexts of a pair that is kept does the word before count.
+        opens = _at(self.befores, t.word)[1]
+        near = np.zeros(len(value), bool)
+        near[1:] = opens[t.of[:-1]] & (t.before[1:] != 0)
+        near[t.before == 0] = bool(_at(self.befores, np.zeros(1, np.uint64))[1][0])
+        at = np.flatnonzero(near)
+        if len(at):
+            i, kept = _at(self.pairs, pair_code(t.before[at], t.word[t.of[at]]))
+            value[at] = np.where(kept, self.of_pair[i] if len(self.pairs) else 0.0, value[at] + _lookup(self.befores, self.of_before, t.before[at]))
+        total = np.concatenate([[0], np.cumsum(value)])
+        return np.where(t.n > 0, (total[t.first[1:]] - total[t.first[:-1]]) / np.maximum(t.n, 1), self.root)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.bias, -500, 500)))
 
 
-def fit(each: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rare: bool = False) -> Model:
-    """The two models' ratio tables, without the curve, from the counts of toxic and ordinary texts; ``rare`` selects the second discount."""
-    context, code, _ = (np.concatenate(x) for x in zip(*each, strict=True))
-    codes, first = np.unique(code, return_index=True)
-    table, context_of = np.unique(context[first], return_inverse=True)
-    counts = [np.bincount(np.searchsorted(codes, own), n, minlength=len(codes)) for _, own, n in each]
-    totals = [np.bincount(context_of, c, minlength=len(table))[context_of] for c in counts]
-    if rare:
-        # Shared by both classes: the share of a context's texts, of either class, that continue it by this n-gram.
-        shared = sum(counts) / np.maximum(sum(totals), 1)
-    else:
-        # Shared by both classes: the mean share of a context's texts that continue it by this n-gram.
-        shares = [np.where(t > 0, c / np.maximum(t, 1), 0) for c, t in zip(counts, totals, strict=True)]
-        shared = sum(shares) / np.maximum(sum((t > 0).astype(float) for t in totals), 1)
-    logs, backs = [], []
-    for c, total, other, rest in zip(counts, totals, counts[::-1], totals[::-1], strict=True):
-        if rare:
-            once, twice = ((c == k).sum() for k in (1, 2))
-            expected = total * (other + 1) / np.maximum(rest, 1)
-            discount = once / max(once + 2 * twice, 1) + OTHER_DISCOUNT * expected + SPREAD * np.sqrt(expected)
-        else:
-            discount = DISCOUNT + SHARED_DISCOUNT * total * shared
-        kept = np.maximum(c - discount, 0)
-        left = np.bincount(context_of, c - kept, minlength=len(table)) / np.maximum(np.bincount(context_of, c, minlength=len(table)), 1)
-        weight = np.where(np.bincount(context_of, c, minlength=len(table)) > 0, np.maximum(left, 1e-6), 1.0)
-        logs.append(np.log(kept / np.maximum(total, 1) + weight[context_of] * shared))
-        backs.append(np.log(weight))
-    return Model(codes, (logs[0] - logs[1]).astype(np.float32), table, (backs[0] - backs[1]).astype(np.float32))
+@dataclass
+class Grams:
+    """Distinct n-grams of a step with their contexts, and how many texts of each (class, fold) hold each."""
+
+    code: np.ndarray
+    context: np.ndarray  # position of the context among ``contexts``
+    contexts: np.ndarray
+    word: np.ndarray  # position of the word among the words, or of a word of the stem
+    n: np.ndarray  # (2, folds, codes)
+
+
+class Counts:
+    """The n-gram counts of labelled texts: ``groups[class][fold]`` are Tokens."""
+
+    def __init__(self, groups: list[list[Tokens]]):
+        self.texts = np.array([[len(t.n) for t in folds] for folds in groups])
+        each = [t for folds in groups for t in folds]
+        word, at = np.unique(np.concatenate([t.word for t in each]), return_index=True)
+        stem = np.concatenate([t.stem for t in each])[at]
+        of = [np.searchsorted(word, t.word)[t.of] for t in each]
+        made = {}
+        for name in ("stem", "word", "pair"):
+            codes, contexts, words, texts = [], [], [], []
+            for t, w in zip(each, of, strict=True):
+                code = stem_code(stem)[w] if name == "stem" else word_code(stem, word)[w] if name == "word" else pair_code(t.before, word[w])
+                order = np.lexsort((t.doc, code))
+                keep = np.ones(len(order), bool)
+                keep[1:] = (code[order][1:] != code[order][:-1]) | (t.doc[order][1:] != t.doc[order][:-1])
+                once = order[keep]
+                codes.append(code[once])
+                words.append(w[once])
+                contexts.append(np.zeros(len(once), np.uint64) if name == "stem" else stem[w[once]] if name == "word" else t.before[once])
+                texts.append(len(once))
+            all_codes, at, where = np.unique(np.concatenate(codes), return_index=True, return_inverse=True)
+            table, context = np.unique(np.concatenate(contexts)[at], return_inverse=True)
+            n = [np.bincount(x, minlength=len(all_codes)) for x in np.split(where, np.cumsum(texts)[:-1])]
+            made[name] = Grams(all_codes, context, table, np.concatenate(words)[at], np.array(n).reshape(*self.texts.shape, -1))
+        self.stem, self.word, self.pair = made["stem"], made["word"], made["pair"]
+        self.stem_of_word = np.searchsorted(self.stem.code, stem_code(stem))
+        self.code_of_word = np.searchsorted(self.word.code, word_code(stem, word))
+
+
+def discounts(n: np.ndarray) -> np.ndarray:
+    """What Kneser-Ney takes off counts of 1, 2 and more, by the counts of counts; no more than the count."""
+    of = [int((n == k).sum()) for k in range(1, 5)]
+    if not of[0]:
+        return np.zeros(len(n))
+    y = of[0] / (of[0] + 2 * of[1])
+    d = [min(max(k - (k + 1) * y * of[k] / of[k - 1], 0.0), k) if of[k - 1] else y for k in (1, 2, 3)]
+    return np.array([0.0, *d])[np.minimum(n, 3)]
+
+
+def separation(n: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """The log-likelihood ratio statistic of n-grams: do the classes differ in the share of ``texts`` that hold it?"""
+    n, total = n.astype(float), np.maximum(texts.astype(float), 1)[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        part = lambda a, b: np.where(a > 0, a * np.log(a / b), 0.0)
+        share = n.sum(0) / total.sum()
+        return 2 * (part(n, total * share) + part(total - n, total * (1 - share))).sum(0)
+
+
+def _smoothed(n: np.ndarray, kept: np.ndarray, context: np.ndarray, size: int, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of each n-gram, backoff weight of each context) of a class; ``below`` are the probabilities that it is backed off to."""
+    off = np.where(kept, np.minimum(discounts(n), n), n)
+    total, left = np.bincount(context, n, minlength=size), np.bincount(context, off, minlength=size)
+    weight = np.where(total > 0, np.maximum(left, 1e-3) / np.maximum(total, 1), 1.0)  # a trace is always left for what the class hasn't seen
+    return (n - off) / np.maximum(total, 1)[context] + weight[context] * below, weight
+
+
+class Training:
+    """The counts of all folds but ``leave``, what the classes share, and how far each n-gram tells them apart."""
+
+    def __init__(self, c: Counts, leave: int | None = None):
+        take = [f for f in range(c.texts.shape[1]) if f != leave]
+        texts = c.texts[:, take].sum(1)
+        self.counts = c
+        self.n = [g.n[:, take].sum(1) for g in (c.stem, c.word, c.pair)]
+        self.separation = [separation(n, texts) for n in self.n]
+        # Shared by both classes: after how many different words a word, or a word of the stem, stands.
+        places = np.bincount(c.pair.word[self.n[2].sum(0) > 0], minlength=len(c.stem_of_word)).astype(float)
+        by_stem = np.bincount(c.stem_of_word, places, minlength=len(c.stem.code))
+        self.shared_stem = (by_stem + 1) / (by_stem.sum() + len(by_stem) + 1)
+        self.shared_word = np.zeros(len(c.word.code))
+        self.shared_word[c.code_of_word] = (places + 1) / (by_stem + np.bincount(c.stem_of_word, minlength=len(by_stem)) + 1)[c.stem_of_word]
+
+
+def fit(t: Training, threshold: float) -> Model:
+    """The two models' ratio tables, without the curve."""
+    c, (n_stem, n_word, n_pair), shared_stem, shared_word = t.counts, t.n, t.shared_stem, t.shared_word
+    kept = [x >= threshold for x in t.separation]
+    p_stem, root = zip(*(_smoothed(n_stem[k], kept[0], c.stem.context, 1, shared_stem) for k in (0, 1)), strict=True)
+    p_word, of_stem = zip(*(_smoothed(n_word[k], kept[1], c.word.context, len(c.word.contexts), shared_word) for k in (0, 1)), strict=True)
+    alone = [(p_stem[k][c.stem_of_word] * p_word[k][c.code_of_word])[c.pair.word] for k in (0, 1)]
+    p_pair, of_before = zip(*(_smoothed(n_pair[k], kept[2], c.pair.context, len(c.pair.contexts), alone[k]) for k in (0, 1)), strict=True)
+    ratio = lambda x: np.log(x[0]) - np.log(x[1])
+    codes = np.concatenate([c.stem.code[kept[0]], c.word.code[kept[1]]])
+    values = np.concatenate([ratio(p_stem)[kept[0]], ratio(p_word)[kept[1]]])
+    order = np.argsort(codes)
+    stems, befores = (np.unique(g.context[k]) for g, k in ((c.word, kept[1]), (c.pair, kept[2])))  # of all other contexts both weights are 1, but for the trace
+    return Model(
+        codes[order], values[order], float(ratio(root)[0]), c.word.contexts[stems], ratio(of_stem)[stems], c.pair.code[kept[2]], ratio(p_pair)[kept[2]], c.pair.contexts[befores], ratio(of_before)[befores]
+    )
 
 
 def learn(each: dict[int, list[bytes]], n_labels: dict[int, int]) -> Model:
-    """The model of the labelled texts of both classes; every fourth text fits the curve and chooses the discount."""
-    counts = [count_grams([t for i, t in enumerate(each[k]) if i % 4]) for k in (1, 0)]
-    check = {k: v[::4] for k, v in each.items()}
-    y = np.concatenate([np.ones(len(check[1])), np.zeros(len(check[0]))])
+    """The model of the labelled texts of both classes. Each fold is judged by a model of the others; that chooses the threshold and fits the curve."""
+    groups = [[Tokens(each[k][f::FOLDS_OF_FIT]) for f in range(FOLDS_OF_FIT)] for k in (1, 0)]
+    counts = Counts(groups)
+    size = [[len(t.n) for t in folds] for folds in groups]
+    y = np.concatenate([np.full(size[k][f], 1 - k) for f in range(FOLDS_OF_FIT) for k in (0, 1)])
     # The classes count as often as they are among the labels.
-    weight = np.where(y == 1, n_labels[1] / len(check[1]), n_labels[0] / len(check[0]))
+    weight = np.where(y == 1, n_labels[1] / len(each[1]), n_labels[0] / len(each[0]))
     weight /= weight.mean()
-    best, least = None, np.inf
-    for rare in (False, True):
-        model = fit(counts, rare)
-        x = np.concatenate([model.evidence(check[1]), model.evidence(check[0])])
-        model.slope, model.bias = fit_curve(x, y, weight)
-        loss = float((weight * np.logaddexp(0, (1 - 2 * y) * (model.slope * x + model.bias))).sum())
-        if best is None or loss < least:
-            best, least = model, loss
-    return best
+    evidence: dict[float, list[np.ndarray]] = {t: [] for t in THRESHOLDS}
+    for f in range(FOLDS_OF_FIT):
+        training = Training(counts, f)
+        for threshold, found in evidence.items():
+            model = fit(training, threshold)
+            # Against the evidence of words that say nothing, which differs a little from model to model.
+            found += [model.of_tokens(groups[k][f]) - model.root for k in (0, 1)]
+    best = None
+    for threshold, found in evidence.items():
+        x = np.concatenate(found)
+        slope, bias = fit_curve(x, y, weight)
+        loss = float((weight * np.logaddexp(0, (1 - 2 * y) * (slope * x + bias))).sum())
+        if best is None or loss < best[0]:
+            best = (loss, threshold, slope, bias)
+    # The statistic grows with the texts, so the threshold does too.
+    model = fit(Training(counts), best[1] * FOLDS_OF_FIT / (FOLDS_OF_FIT - 1))
+    model.slope, model.bias = best[2], best[3] - best[2] * model.root
+    return model
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Logistic regression of one variable by Newton's method."""
-    scale = max(float(np.abs(x).mean()), 1e-9)
-    z = np.stack([x / scale, np.ones(len(x))], 1)
+    """Logistic regression of one variable by Newton's method, never falling."""
+    middle, scale = float(np.median(x)), max(float(x.std()), 1e-9)
+    z = np.stack([(x - middle) / scale, np.ones(len(x))], 1)
     beta = np.zeros(2)
-    for _ in range(60):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
         g = z.T @ (weight * (y - p)) - ridge * beta
         step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(2), g)
         beta += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(beta[0] / scale), float(beta[1])
+    slope = max(float(beta[0] / scale), 0.0)
+    return slope, float(beta[1] - slope * middle)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -180,18 +283,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("rank", F.xxhash64("doc_id", F.lit(7)))
     chosen = None
     for kind in (1, 0):
-        # Twice as many as wanted: some have no text, or a long one.
+        # Twice as many as wanted: some have no text.
         top = marked.where(F.col("toxic") == kind).orderBy("rank", "doc_id").limit(2 * sample)
         chosen = top if chosen is None else chosen.unionByName(top)
     texts = docs.select("doc_id", "text").where(F.octet_length("text").between(1, SAMPLE_BYTES)).join(F.broadcast(chosen), "doc_id")
     rows = texts.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("rank").alias("rank"), F.min("text").alias("text"))
+    # At most 4 * sample rows are ranked.
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES)
     each: dict[int, list[bytes]] = {1: [], 0: []}
     n_labels = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    for kind in (1, 0):
-        each[kind] = [r["text"].encode() for r in rows.where(F.col("toxic") == kind).orderBy("rank", "doc_id").limit(sample).select("text").collect()]
-    empty = Model(np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, np.uint64), np.zeros(0, np.float32))
-    if min(map(len, each.values())) < 4:
-        return empty
+    for r in rows.select("toxic", "rank", "doc_id", "text").orderBy("rank", "doc_id").collect():
+        if len(each[r["toxic"]]) < sample:
+            each[r["toxic"]].append(r["text"].encode())
+    # A text that the sample repeats is one witness.
+    each = {k: list(dict.fromkeys(v)) for k, v in each.items()}
+    if min(map(len, each.values())) < FOLDS_OF_FIT:
+        return Model()
     return learn(each, n_labels)
 
 

@@ -28,20 +28,39 @@ def words(text):
 
 def naive(items, capacity):
     bins, out = [], []
-    for size, source, cluster in items:
-        fit = [(r, i) for i, (r, s, c) in enumerate(bins) if r >= size and (source is None or source not in s) and (cluster is None or cluster not in c)]
+    for turn, (size, source, cluster) in enumerate(items):
+        fit = [(r, came, i) for i, (r, came, s, c) in enumerate(bins) if r >= size and (source is None or source not in s) and (cluster is None or cluster not in c)]
         if fit:
-            i = min(fit)[1]
+            i = min(fit)[2]
         else:
             i = len(bins)
-            bins.append([capacity, set(), set()])
+            bins.append([capacity, 0, set(), set()])
         bins[i][0] -= size
-        bins[i][1].add(source)
-        bins[i][2].add(cluster)
+        bins[i][1] = turn
+        bins[i][2].add(source)
+        bins[i][3].add(cluster)
         out.append(i)
     return out
 
 
+def test_best_fit_of_one_source_or_cluster_takes_linear_time():
+    import time
+
+    for items in ([(10, "s", None)] * 40_000, [(10, i % 8, "c") for i in range(40_000)], [(10 + i % 3, "s", i % 2) for i in range(40_000)]):
+        began = time.perf_counter()
+        assert sorted(packing.pack(items, 2048)) == list(range(40_000))
+        assert time.perf_counter() - began < 10  # a walk over all bins takes minutes
+
+
+def test_repeated_rows_and_rows_without_an_id_are_spread(spark):
+    rows = [(7, "a b c", "s")] * 300 + [(None, f"w{i % 40} x", None) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, s, 1, 2, 3) for i, t, s in rows], "doc_id long, text string, source string, shard int, copy int, words int")
+    placed = packing.best_fit(docs, shard=60).collect()
+    assert len(placed) == 600 and sum(r["size"] for r in placed) == 1500
+    shards = collections.Counter((r["doc_id"], r["shard"]) for r in placed)
+    assert max(shards.values()) < 120 and len(shards) == 20
+
+
 @pytest.mark.parametrize("seed", range(25))
 def test_best_fit_equals_a_full_scan(seed):
     r = random.Random(seed)
@@ -105,7 +124,7 @@ def test_labels_of_held_out_rows_are_never_used(labelled):
     docs, labels = labelled
     other = labels.withColumn("toxic", F.when(toxicity.fold_of(F.col("doc_id")) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.train(docs, labels), toxicity.train(docs, other)
-    assert a.codes.tolist() == b.codes.tolist() and (a.slope, a.bias) == (b.slope, b.bias)
+    assert a.codes.tolist() == b.codes.tolist() and a.of_pair.tolist() == b.of_pair.tolist() and (a.slope, a.bias) == (b.slope, b.bias)
 
 
 def test_expressions_of_few_texts_count(spark):
@@ -127,6 +146,65 @@ def test_expressions_of_few_texts_count(spark):
     assert sum(r["predicted"] for r in rows if not r["toxic"]) <= 2
 
 
+def plain_kneser_ney(texts, threshold):
+    """The evidence of a text by dictionaries; ``texts`` are lists of words by class."""
+    stem = lambda w: w[:5]
+    grams = lambda t: {("stem", "", stem(w)) for w in t} | {("word", stem(w), w) for w in t} | {("pair", v, w) for v, w in zip(["", *t], t, strict=False)}
+    n = [collections.Counter(g for t in c for g in grams(t)) for c in texts]
+    size = [len(c) for c in texts]
+    every = set(n[0]) | set(n[1])
+    places = collections.Counter(w for kind, v, w in every if kind == "pair")
+    by_stem, of_stem = collections.Counter(), collections.defaultdict(set)
+    for w, k in places.items():
+        by_stem[stem(w)] += k
+        of_stem[stem(w)].add(w)
+
+    def statistic(g):
+        share = sum(c[g] for c in n) / sum(size)
+        part = lambda a, b: a * math.log(a / b) if a else 0.0
+        return 2 * sum(part(c[g], m * share) + part(m - c[g], m * (1 - share)) for c, m in zip(n, size, strict=True))
+
+    kept = {g for g in every if statistic(g) >= threshold}
+
+    def off(c, g):
+        kind, m = g[0], n[c][g]
+        of = [sum(1 for x, k in n[c].items() if x[0] == kind and k == i) for i in range(1, 5)]
+        if g not in kept or not m:
+            return m
+        if not of[0]:
+            return 0
+        y = of[0] / (of[0] + 2 * of[1])
+        k = min(m, 3)
+        return min(max(k - (k + 1) * y * of[k] / of[k - 1], 0), k) if of[k - 1] else y
+
+    def p(c, kind, v, w):
+        g = (kind, v, w)
+        total = sum(k for x, k in n[c].items() if x[:2] == g[:2])
+        weight = max(sum(off(c, x) for x in n[c] if x[:2] == g[:2]), 1e-3) / total if total else 1.0
+        if kind == "stem":
+            below = (by_stem[w] + 1) / (sum(by_stem.values()) + len(by_stem) + 1)
+        elif kind == "word":
+            below = (places[w] + 1) / (by_stem[v] + len(of_stem[v]) + 1)
+        else:
+            below = p(c, "stem", "", stem(w)) * p(c, "word", stem(w), w)
+        return (n[c][g] - off(c, g)) / max(total, 1) + weight * below
+
+    return lambda t: sum(math.log(p(0, "pair", v, w) / p(1, "pair", v, w)) for v, w in zip(["", *t], t, strict=False)) / len(t)
+
+
+@pytest.mark.parametrize("threshold", [0.0, 1.5, 4.0, 1e9])
+def test_evidence_equals_plain_kneser_ney(threshold):
+    r = random.Random(21)
+    words_of = [[f"{a}{b}" for a in ("grommel", "fnark", "ka", "lo") for b in ("", "s", "ish")] for _ in range(2)]
+    texts = [[[r.choice(words_of[c][c * 3 :]) for _ in range(r.randint(1, 12))] for _ in range(20 + 10 * c)] for c in (0, 1)]
+    tokens = [[toxicity.Tokens([" ".join(t).encode() for t in texts[c][f::4]]) for f in range(4)] for c in (0, 1)]
+    model = toxicity.fit(toxicity.Training(toxicity.Counts(tokens)), threshold)
+    plain = plain_kneser_ney(texts, threshold)
+    known = {v for c in texts for t in c for v in t}
+    sample = texts[0][:6] + texts[1][:6] + [["ka", "zzz"] if threshold > 10 else ["ka", "los"]]
+    assert known and np.allclose(model.evidence([" ".join(t).encode() for t in sample]), [plain(t) for t in sample], atol=2e-3)
+
+
 def test_toxicity_of_odd_rows(spark, odd, none, labelled):
     model = toxicity.train(*labelled)
     rows = toxicity.score(odd.withColumnRenamed("lang", "score"), model).collect()

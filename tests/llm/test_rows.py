@@ -129,6 +129,8 @@ URLS = [
     (8, "https://f.org/1", "<link rel=canonical href=http://b.net/fr/9>"),
     (9, "no scheme.com/", "x"),
     (10, "http://net/es/", ""),
+    (11, "https://g.org/1", '<!-- <link rel="canonical" href="http://b.net/es/1"> --><script>x = "<link rel=canonical href=http://b.net/es/1>"</script><textarea><link rel=canonical href=http://b.net/es/1>'),
+    (12, "https://g.org/2", '<script>a</script><link rel="canonical" href="http://b.net/es/1">'),
 ]
 
 
@@ -137,7 +139,10 @@ def test_decisions_travel_and_allow_wins(spark):
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(pages).collect()}
     assert got[1] == got[3] == (None, "block") and got[2] == ("net/es/", "block") and got[4] == got[5] == got[6] == (None, "allow")
     assert got[7] == ("www.example.com/en/", "allow") and got[8] == (None, "allow") and got[9] == (None, "allow") and got[10] == ("net/es/", "block")
+    assert got[11] == (None, "allow") and got[12] == (None, "block")
     assert url_filter.judge(pages.limit(0)).count() == 0
+    clash = pages.selectExpr("*", "'x' AS alias_class", "1 AS component", "'v' AS verdict", "2 AS __node", "3 AS __class")
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(clash).collect()} == got and {r["__node"] for r in url_filter.judge(clash).collect()} == {2}
 
 
 def test_sql_says_the_same(spark):
