@@ -12,10 +12,11 @@ A document's tokens are its distinct k-word shingles. Two documents link if ``10
 5. Large buckets are grouped; groups that step 4 has joined into one component are done. In each other group, documents of different components are
    compared with each other in blocks by size, under the same three filters, so no link that would join two components is missed.
 
-A bucket's pairs are never emitted: the rows made are linear in the prefixes. Buckets of tokens that the sketch holds very common are salted.
+A bucket's pairs are never emitted: the rows made are linear in the prefixes. Buckets of tokens that the sketch holds very common are salted. The sketch is read by what a counter has beyond a low
+quantile of all counters, which is what rare tokens that share it add up to, so a larger corpus neither makes all tokens seem common nor changes their order; tokens rarer than that sum's spread are ordered by hash.
 
 Defined cases: rows without an id are ignored; an id in several rows counts once (of different texts the one with the least signature); a text
-without words, empty or null has an empty set and is linked with nothing; other columns are ignored.
+without words, empty or null has an empty set and is linked with nothing; very long texts are read whole, one at a time; ties of equal sets go to the least id; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ SKETCH, SLICES = 1 << 20, 64  # counters and the pieces in which they travel
 SMALL = 8  # a bucket up to this many documents is compared in full
 HOT = 1 << 16  # tokens in more documents than this are salted
 BLOCK_SHINGLES = 2_000_000  # a block of step 5
+MOST_BROADCAST = 100_000  # rows of the table of size classes with several blocks, if it travels to the tasks
+NOISE_QUANTILE = 0.1
 BLOOM_BITS = 1 << 23
 ROWS = 2_000
 _ORDER2, _ORDER3 = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -89,14 +92,14 @@ def _ids(part: pa.RecordBatch) -> np.ndarray:
     return part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _describe(spec: Spec):
+def _describe(spec: Spec, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, np.int64)
+        sketch = np.zeros(size, np.int64)
         names = ["doc_id", "n", "sig1", "sig2", "slice", "counts"]
         for batch in batches:
             for part, texts in textkit.slices(batch):
                 first, h = textkit.words(texts).sets(spec.k)
-                sketch += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                sketch += np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size)
                 sig1, sig2 = _signatures(first, h)
                 m = len(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(_ids(part)), pa.array(np.diff(first)), pa.array(sig1), pa.array(sig2), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
@@ -130,13 +133,23 @@ def _merged(rows: DataFrame, kind: str, size: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+def excess(counts: np.ndarray) -> np.ndarray:
+    """What each counter has beyond the rare tokens that share it."""
+    return np.maximum(counts - np.quantile(counts, NOISE_QUANTILE).astype(np.int64), 0)
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """The first order's key of each counter: eighths of a power of two of its excess."""
+    return np.floor(8 * np.log2(np.maximum(excess(counts), 1))).astype(np.uint16)
+
+
 def _prefixes(spec: Spec, level: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in textkit.slices(batch):
                 first, h = textkit.words(texts).sets(spec.k)
                 sig1, _ = _signatures(first, h)
-                values, count = _sorted_prefix(first, h, level[(h & np.uint64(SKETCH - 1)).astype(np.int64)], spec)
+                values, count = _sorted_prefix(first, h, level[(h & np.uint64(len(level) - 1)).astype(np.int64)], spec)
                 yield pa.RecordBatch.from_arrays([pa.array(_ids(part)), pa.array(np.diff(first)), pa.array(sig1), _lists(values, count)], names=["doc_id", "n", "sig1", "prefix"])
 
     return run
@@ -317,7 +330,7 @@ def compare_block(percent: int, level: np.ndarray, a: list[np.ndarray], b: list[
     spec, both = Spec(0, percent), [*a, *(b or [])]
     n = np.array([len(s) for s in both])
     low, comp, links = (0 if b is None else len(a)), comp.copy(), []
-    keys = (lambda s: level[(s & np.uint64(SKETCH - 1)).astype(np.int64)], lambda s: textkit.mix(s ^ _ORDER2), lambda s: textkit.mix(s ^ _ORDER3))
+    keys = (lambda s: level[(s & np.uint64(len(level) - 1)).astype(np.int64)], lambda s: textkit.mix(s ^ _ORDER2), lambda s: textkit.mix(s ^ _ORDER3))
     prefixes = [[s[np.lexsort((s, key(s)))[: spec.prefix(len(s))]] for s in both] for key in keys]
     filters, full = [_postings(p) for p in prefixes], _postings(both)
     for i in range(len(a)):
@@ -359,21 +372,27 @@ def _rest(spec: Spec, level: np.ndarray, grouped: DataFrame, sets: DataFrame) ->
     step = math.log(100 / spec.percent * 1.0001) if spec.percent < 100 else 1e-9
     docs = grouped.join(sets.select(F.col("doc_id").alias("doc"), "n"), "doc")
     docs = docs.withColumn("c", F.floor(F.log(F.col("n")) / step).cast("long") if spec.percent < 100 else F.col("n"))
-    sizes = docs.groupBy("grp", "c").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
-    above = sizes.select("grp", (F.col("c") - 1).alias("c"), F.col("parts").alias("up"))
-    below = sizes.select("grp", (F.col("c") + 1).alias("c"), F.col("parts").alias("down"))
-    docs = docs.join(sizes.join(above, ["grp", "c"], "left").join(below, ["grp", "c"], "left"), ["grp", "c"])
+    # Only the classes of more than one block are joined; they are few, so that a group's documents need not meet in one task.
+    big = spool(docs.groupBy("grp", "c").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts")).where("parts > 1"), "big")
+    n_big = big.count()
+    for name, shift in (("parts", 0), ("up", -1), ("down", 1)):
+        if n_big:
+            other = big.select("grp", (F.col("c") + shift).alias("c"), F.col("parts").alias(name))
+            docs = docs.join(F.broadcast(other) if n_big <= MOST_BROADCAST else other, ["grp", "c"], "left").withColumn(name, F.coalesce(name, F.lit(1)))
+        else:
+            docs = docs.withColumn(name, F.lit(1))
     docs = docs.withColumn("i", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
     # A task compares part i of class c with part j of the same class, j >= i, or of the next one.
     side = lambda c, i, j, within, side: F.struct(c.alias("tc"), i.alias("ti"), j.alias("tj"), F.lit(within).alias("within"), F.lit(side).alias("side"))
     c, i, one = F.col("c"), F.col("i"), F.lit(1)
     upto = lambda n: F.when(n >= 1, F.sequence(F.lit(0), n - one)).otherwise(F.array().cast("array<int>"))
     mine = F.concat(F.array(side(c, i, i, True, 0)), F.transform(F.filter(upto(F.col("parts")), lambda j: j > i), lambda j: side(c, i, j, False, 0)), F.transform(F.filter(upto(F.col("parts")), lambda j: j < i), lambda j: side(c, j, i, False, 1)))
-    over = F.transform(upto(F.coalesce("up", F.lit(0))), lambda j: side(c, i, -j - 1, False, 0))
-    under = F.transform(upto(F.coalesce("down", F.lit(0))), lambda j: side(c - 1, j, -i - 1, False, 1))
+    over = F.transform(upto(F.col("up")), lambda j: side(c, i, -j - 1, False, 0))
+    under = F.transform(upto(F.col("down")), lambda j: side(c - 1, j, -i - 1, False, 1))
     tasks = docs.withColumn("t", F.explode(F.concat(mine, over, under))).select("grp", "t.*", "doc", "comp")
     keys = ["grp", "tc", "ti", "tj"]
-    useful = tasks.groupBy(*keys).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(*keys)
+    sides = (F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("within").alias("within"), F.min("side").alias("first"), F.max("side").alias("last"))
+    useful = tasks.groupBy(*keys).agg(*sides).where("lo <> hi AND (within OR first <> last)").select(*keys)
     tasks = tasks.join(useful, keys, "left_semi").join(sets.select(F.col("doc_id").alias("doc"), "tokens"), "doc")
     return tasks.groupBy(*keys).applyInPandas(_block(spec.percent, level), "a long, b long")
 
@@ -382,9 +401,9 @@ def linked_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document: the set's size and the least id reachable by links."""
     spec = Spec(k, percent)
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    described = spool(texts.mapInArrow(_describe(spec), "doc_id long, n long, sig1 long, sig2 long, slice int, counts binary"), "described")
+    described = spool(texts.mapInArrow(_describe(spec, SKETCH), "doc_id long, n long, sig1 long, sig2 long, slice int, counts binary"), "described")
     counts = _merged(described.where("slice IS NOT NULL"), "sum", SKETCH)
-    level = np.floor(8 * np.log2(np.maximum(counts, 1))).astype(np.uint16)
+    level = levels(counts)
     ids = described.where("slice IS NULL").groupBy("doc_id").agg(F.min(F.struct("n", "sig1", "sig2")).alias("s")).select("doc_id", "s.*")
     repeated = described.where("slice IS NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     # Stored, so that the join reads two plain shuffles and the rows of a large class of copies can be split.
@@ -392,9 +411,8 @@ def linked_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     classes = spool(ids.join(least, ["n", "sig1", "sig2"], "left").select("doc_id", "n", "sig1", F.coalesce("rep", "doc_id").alias("rep")), "classes")
     reps = classes.where("n > 0 AND doc_id = rep").select("doc_id", "sig1")
 
-    hot = 8 * math.log2(HOT)
-    parts = np.maximum(counts // (HOT // 2), 1)
-    salts = {int(i): int(parts[i]) for i in np.flatnonzero(level > hot)}  # at most as many as the sketch has counters
+    over = excess(counts)
+    salts = {int(i): int(over[i] // (HOT // 2)) for i in np.flatnonzero(over > HOT)}  # at most as many as the sketch has counters
     prefix = texts.mapInArrow(_prefixes(spec, level), "doc_id long, n long, sig1 long, prefix array<long>")
     rows = prefix.join(reps, ["doc_id", "sig1"], "left_semi").select("n", F.col("doc_id").alias("doc"), F.posexplode("prefix").alias("pos", "token"))
     rows = rows.withColumn("size", (2 * F.col("n") + F.when(F.expr(f"pos < n - int(ceil(2 * {percent} * n / {100 + percent}D - 1e-9)) + 1"), 0).otherwise(1)).cast("int"))

@@ -134,3 +134,28 @@ def test_block_comparison_equals_brute_force():
                 if 100 * len(x & y) >= 70 * len(x | y):
                     assert find(i) == find(j)
         assert all(100 * len(set(sets[i].tolist()) & set(sets[j].tolist())) >= 70 * len(set(sets[i].tolist()) | set(sets[j].tolist())) for i, j in links)
+
+
+def test_a_larger_corpus_changes_no_order():
+    """What rare tokens add to every counter, whatever the corpus, neither reorders the common ones nor makes any of them hot."""
+    r = np.random.default_rng(3)
+    counts = r.integers(0, 3, jaccard.SKETCH)
+    counts[r.integers(0, jaccard.SKETCH, 500)] += r.integers(100, 1_000_000, 500)
+    assert (jaccard.levels(counts) == jaccard.levels(counts + 200_000)).all()
+    assert (jaccard.excess(counts) > jaccard.HOT).sum() == (jaccard.excess(counts + 200_000) > jaccard.HOT).sum() > 0
+
+
+@pytest.mark.parametrize(("block", "broadcast"), [(2_000_000, 10), (150, 10), (150, 0)])
+def test_a_saturated_sketch_and_small_blocks_lose_nothing(spark, monkeypatch, block, broadcast):
+    monkeypatch.setattr(jaccard, "SKETCH", 1 << 8)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(jaccard, "MOST_BROADCAST", broadcast)
+    r = random.Random(17)
+    line = " ".join(f"l{i}" for i in range(30))
+    rows = []
+    for i in range(90):  # all hold one passage, which makes most of some of them
+        text = [f"w{r.randint(0, 4000)}" for _ in range(r.choice([3, 5, 8, 60]))]
+        rows.append((i, " ".join(text) + " " + line if i % 3 else " ".join(text[:2]) + " " + line))
+    rows += [(100 + i, t + " x") for i, t in rows[:20]]
+    got = jaccard.linked_classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute(rows, 4, 85)
