@@ -1,15 +1,18 @@
 """HTML extraction by minimum-cut labelling of text blocks.
 
-A page is cut into blocks of text at block-level elements. A linear classifier over a block's own text and its ancestors gives a logit, whose size is the
-capacity from the content terminal, or to the boilerplate one. Smoothness edges join blocks that follow each other, the stronger the more of
-their ancestors they share, and blocks with the same parent. The minimum cut between the terminals, found by maximum flow, labels all blocks
-at once. Blocks whose terminal capacity outweighs all their edges are decided beforehand and their edges turned into capacities of their
-neighbours; that changes no minimum cut and leaves small graphs.
+A page is cut into blocks of text at block-level elements. A logistic classifier over a block's own text (words, sentence mark, share of links), its element and the names of its ancestors
+gives a logit, whose size is the capacity from the content terminal, or to the boilerplate one. Smoothness edges join blocks that follow each other, the stronger the fewer steps
+lie between them in the tree and if their elements are of one kind, and blocks with the same parent. The minimum cut between the terminals, found by maximum flow, labels all blocks
+at once: a one-word paragraph among paragraphs is content, a sentence among links isn't. Blocks whose terminal capacity outweighs all their edges are decided beforehand and their edges turned into
+capacities of their neighbours; that changes no minimum cut and leaves small graphs.
+
+The classifier is fitted to SAMPLE pages of the table, chosen by a hash (of up to SAMPLE_BYTES): blocks below elements that the page itself marks as its article or as something else (nav, footer, advert, ...) are its labelled rows.
+Each counts twice, with the marks and without, so that the text has to tell as much as it can. Weights are pulled to PRIOR, which is also what a table without such pages gets. Names of elements are features with a weight like any other.
 
 Character references are decoded, white space inside a block becomes one space, and the content blocks, in page order, are joined by one space.
 
 Defined cases: a null or empty html, or one without content, gives an empty text; unclosed and stray tags, comments and quotes are read as browsers do, as far as blocks go; very long
-pages take time and memory in proportion to their blocks, other columns pass through; repeated rows are extracted each by itself.
+pages take time and memory in proportion to their blocks; repeated rows are extracted each by itself, all alike; input columns named text or n_chars are replaced and that of the html goes, all others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,8 +23,10 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
@@ -44,14 +49,22 @@ _BOILER_WORDS = frozenset(
 _HARD_WORDS = frozenset("ad ads advert adverts advertisement sponsored promo comment comments related".split())  # also on article elements
 _CONTENT_WORDS = frozenset("article content post entry story main body text".split())
 _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+_BOILER_STATES = frozenset(("in boilerplate", "named boilerplate", "named aside"))
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
-#: Weights of the classifier and of the edges.
-BIAS, PER_WORD, MOST_WORDS, SENTENCE, LINKS = -1.5, 0.1, 40, 1.0, 5.0
-CONTENT, CONTENT_CLASS, BOILER = 8.0, 4.0, 12.0
-OF_TAG = {"p": 1.0, "blockquote": 0.7, "pre": 0.7, "h1": 0.5, "li": -0.5, "td": -0.3, "address": -1.0}
-ADJACENT, SIBLING = 1.0, 0.5
+#: The classifier's features and their weights before any page is seen.
+PRIOR = {
+    "one": -1.5, "words": 1.0, "sentence": 1.0, "links": -4.0, "paragraph": 1.0, "heading": 0.5, "item": -0.5, "cell": -0.3,
+    "in article": 2.0, "named content": 1.0, "in boilerplate": -3.0, "named boilerplate": -3.0, "named aside": -1.5,
+}
+FEATURES = tuple(PRIOR)
+N_TEXT = FEATURES.index("paragraph")  # the features before this one are of the text alone
+WORDS = 40  # beyond so many words a block is long
+KINDS = {"p": "paragraph", "blockquote": "paragraph", "pre": "paragraph", "li": "item", "dd": "item", "dt": "item", "td": "cell", "th": "cell"} | {f"h{i}": "heading" for i in range(1, 7)}
+RIDGE = 10.0  # rows that the prior weighs
+SAMPLE, SAMPLE_BYTES = 300, 1 << 16
+ADJACENT, SIBLING = 2.0, 0.5
 
 
 @dataclass
@@ -59,9 +72,8 @@ class Element:
     tag: str
     parent: Element | None
     depth: int
-    state: float  # the logit that the ancestors give
+    state: str  # what the ancestors' names say: a feature, or nothing
     silent: bool
-    boiler: bool
 
 
 @dataclass
@@ -73,7 +85,7 @@ class Block:
 
 
 def _element(tag: str, attrs: str, parent: Element | None) -> Element:
-    state, silent, boiler = (parent.state, parent.silent, parent.boiler) if parent else (0.0, False, False)
+    state, silent = (parent.state, parent.silent) if parent else ("", False)
     found = {}
     if attrs and not attrs.isspace():
         for m in _ATTR.finditer(attrs):
@@ -84,20 +96,23 @@ def _element(tag: str, attrs: str, parent: Element | None) -> Element:
     words = set(_SPLIT.split(f"{found.get('class', '')} {found.get('id', '')}")) if found else set()
     if tag in _NO_TEXT or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
         silent = True
-    if not boiler and tag not in ("html", "body"):
-        if tag in _CONTENT_TAGS or found.get("role") in ("main", "article"):
-            boiler = bool(words & _HARD_WORDS)
-            state = CONTENT
-        elif tag in _BOILER_TAGS or found.get("role") in _BOILER_ROLES or tag == "header" and state < CONTENT or words & _BOILER_WORDS:
-            boiler = True
-        elif words & _CONTENT_WORDS:
-            state = max(state, CONTENT_CLASS)
-    return Element(tag, parent, parent.depth + 1 if parent else 0, -BOILER if boiler else state, silent, boiler)
+    if state not in _BOILER_STATES and tag not in ("html", "body"):
+        if words & _HARD_WORDS:
+            state = "named boilerplate"
+        elif tag in _CONTENT_TAGS or found.get("role") in ("main", "article"):
+            state = "in article"
+        elif tag in _BOILER_TAGS or found.get("role") in _BOILER_ROLES or tag == "header" and state != "in article":
+            state = "in boilerplate"
+        elif words & _BOILER_WORDS:
+            state = "named aside" if state == "in article" else "named boilerplate"
+        elif words & _CONTENT_WORDS and not state:
+            state = "named content"
+    return Element(tag, parent, parent.depth + 1 if parent else 0, state, silent)
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text, in order."""
-    root = Element("#", None, 0, 0.0, False, False)
+    root = Element("#", None, 0, "", False)
     top, out, current = root, [], None
     links = 0
     at, n = 0, len(page)
@@ -110,8 +125,8 @@ def blocks(page: str) -> list[Block]:
             owner = top
             while owner.tag not in _BLOCK and owner.parent is not None:
                 owner = owner.parent
-            # Inline elements may carry hints of their own.
-            current = Block(owner if top.state >= owner.state else top)
+            # Inline elements may carry names of their own.
+            current = Block(top if top.state in _BOILER_STATES and owner.state not in _BOILER_STATES else owner)
             out.append(current)
         value = html_lib.unescape(raw) if "&" in raw else raw
         current.pieces.append(value)
@@ -214,13 +229,51 @@ def blocks(page: str) -> list[Block]:
     return kept
 
 
-def logit(b: Block) -> float:
-    """The classifier's log-odds that a block is content."""
-    words = b.text.count(" ") + 1
-    z = BIAS + PER_WORD * min(words, MOST_WORDS) + b.parent.state + OF_TAG.get(b.parent.tag, 0.0)
-    if b.text[-1] in ".!?…\"'”":
-        z += SENTENCE
-    return z - LINKS * min(1.0, b.linked / len(b.text))
+def features(b: Block) -> list[float]:
+    row = dict.fromkeys(FEATURES, 0.0)
+    row["one"] = 1.0
+    row["words"] = min(b.text.count(" ") + 1, WORDS) / 10
+    row["sentence"] = float(b.text[-1] in ".!?…\"'”")
+    row["links"] = min(1.0, b.linked / len(b.text))
+    if b.parent.tag in KINDS:
+        row[KINDS[b.parent.tag]] = 1.0
+    if b.parent.state:
+        row[b.parent.state] = 1.0
+    return list(row.values())
+
+
+def logits(page: list[Block], weights: np.ndarray) -> list[float]:
+    """The classifier's log-odds that each block is content."""
+    return (np.array([features(b) for b in page]) @ weights).tolist()
+
+
+def fit(pages: list[str]) -> np.ndarray:
+    """The classifier's weights: logistic regression by Newton's method, with a ridge around PRIOR. A page's blocks together count as one page."""
+    prior = np.array(list(PRIOR.values()))
+    rows, labels, weight = [], [], []
+    for page in pages:
+        marked = [b for b in blocks(page) if b.parent.state == "in article" or b.parent.state in _BOILER_STATES]
+        of = [sum((b.parent.state == "in article") == k for b in marked) for k in (False, True)]
+        if min(of) == 0:
+            continue  # a page with one kind alone says nothing of the difference
+        for b in marked:
+            y = b.parent.state == "in article"
+            x = np.array(features(b))
+            rows += [x, np.where(np.arange(len(x)) < N_TEXT, x, 0)]
+            labels += [y, y]
+            weight += [1 / of[y]] * 2
+    if not rows:
+        return prior
+    x, y, weight = np.array(rows), np.array(labels, float), np.array(weight)
+    beta = prior.copy()
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        g = x.T @ (weight * (y - p)) - RIDGE * (beta - prior)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(beta)), g)
+        beta += np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-8:
+            break
+    return beta
 
 
 def _shared_depth(a: Element, b: Element) -> int:
@@ -238,7 +291,9 @@ def edges(page: list[Block]) -> list[tuple[int, int, float]]:
     for j, b in enumerate(page):
         if j:
             a = page[j - 1]
-            out.append((j - 1, j, ADJACENT * (1 + _shared_depth(a.parent, b.parent)) / (1 + max(a.parent.depth, b.parent.depth))))
+            apart = a.parent.depth + b.parent.depth - 2 * _shared_depth(a.parent, b.parent)  # 2 for elements with the same parent
+            alike = 1.0 if KINDS.get(a.parent.tag) == KINDS.get(b.parent.tag) else 0.5
+            out.append((j - 1, j, ADJACENT * alike / max(apart - 1, 1) ** 2))
         above = id(b.parent.parent)
         if above in last and last[above] < j - 1:
             out.append((last[above], j, SIBLING))
@@ -341,25 +396,32 @@ def _flow(rest: list[int], z: list[float], near: list[dict[int, float]], side: l
                 break
 
 
-def extract(page: str | None) -> str:
+def extract(page: str | None, weights: np.ndarray | None = None) -> str:
     """The page's main text."""
     found = blocks(page or "")
     if not found:
         return ""
-    labels = minimum_cut([logit(b) for b in found], edges(found))
+    labels = minimum_cut(logits(found, np.array(list(PRIOR.values())) if weights is None else weights), edges(found))
     return " ".join(b.text for b, keep in zip(found, labels, strict=True) if keep)
 
 
-def main_text(pages: DataFrame, column: str = "html") -> DataFrame:
-    """The pages without the html, with ``text`` and ``n_chars``; no shuffle."""
-    keep = [f for f in pages.schema.fields if f.name not in (column, "text", "n_chars")]
+def learn(pages: DataFrame, column: str = "html", sample: int = SAMPLE) -> np.ndarray:
+    """The weights for a table of pages; no more than ``sample`` pages reach the driver."""
+    few = pages.select(F.col(column).alias("html")).where(F.octet_length("html").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("html"), "html").limit(sample)
+    return fit([r["html"] for r in few.collect()])
+
+
+def main_text(pages: DataFrame, column: str = "html", weights: np.ndarray | None = None) -> DataFrame:
+    """The pages without the html, with ``text`` and ``n_chars``; no shuffle. ``weights`` are learnt from the pages unless given."""
+    weights = learn(pages, column) if weights is None else weights
+    keep = [f for f in pages.schema.fields if f.name.lower() not in (column.lower(), "text", "n_chars")]
     schema = T.StructType([*keep, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [extract(p) for p in part.column(column).to_pylist()]
+                texts = [extract(p, weights) for p in part.column(column).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
     return pages.mapInArrow(run, schema)

@@ -110,6 +110,43 @@ def test_article_without_boilerplate():
     assert html_text.extract("<p class=\"x>y\" id='a>b'>A plain page that has only one longer paragraph of text, with no article.") != ""
 
 
+SOUP = "<body><div><span><a href=x>Home</a> <a href=y>All of it</a></span></div><div id=a><div>{}</div><div>Rain.</div><div>{}</div><div>{}</div></div><div><div><a href=z>More of this.</a></div></div></body>"
+
+
+def test_the_cut_decides_where_the_classifier_is_unsure():
+    long = [" ".join(f"w{i}{j}" for j in range(25)) + "." for i in range(3)]
+    found = html_text.blocks(SOUP.format(*long))
+    weights = np.array(list(html_text.PRIOR.values()))
+    sign = [z > 0 for z in html_text.logits(found, weights)]
+    cut = html_text.minimum_cut(html_text.logits(found, weights), html_text.edges(found))
+    assert sign == [False, True, False, True, True, False] and cut == [False, True, True, True, True, False]
+    assert html_text.extract(SOUP.format(*long)) == f"{long[0]} Rain. {long[1]} {long[2]}"
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_labels_of_whole_pages_equal_enumeration(seed):
+    r = random.Random(seed)
+    names = ["p", "p", "div", "li", "h2", "td", "aside", "article", 'div class="ad"', "section", "a href=x"]
+    page = "".join(r.choice([f"<{r.choice(names)}>", f"</{r.choice(names).split()[0]}>", "a few words here. ", " ".join(["word"] * r.randint(1, 30)) + r.choice([".", ""])]) for _ in range(30))
+    found = html_text.blocks(page)[:11]
+    z, links = html_text.logits(found, np.array(list(html_text.PRIOR.values()))), html_text.edges(found)
+    cost = lambda x: sum(abs(v) for v, k in zip(z, x, strict=True) if (v > 0) != k) + sum(w for i, j, w in links if x[i] != x[j])
+    best = min((cost(x) for x in itertools.product((False, True), repeat=len(found))), default=0)
+    assert abs(cost(html_text.minimum_cut(z, links)) - best) < 1e-9
+
+
+def test_weights_are_learnt_from_marked_pages():
+    r = random.Random(2)
+    # On this site articles are of short lines without marks, and adverts are long.
+    line = lambda n, end: " ".join(r.choice("ka lo mi nu".split()) for _ in range(n)) + end
+    pages = ["<nav>" + line(30, ".") + "</nav><article>" + "".join(f"<p>{line(3, '')}" for _ in range(4)) + "</article><footer>" + line(25, ".") for _ in range(200)]
+    prior, weights = np.array(list(html_text.PRIOR.values())), html_text.fit(pages)
+    at = html_text.FEATURES.index
+    assert weights[at("words")] < 0 < prior[at("words")] and weights[at("paragraph")] > prior[at("paragraph")]
+    assert (html_text.fit([]) == prior).all() and (html_text.fit(["<p>only text", ""]) == prior).all()
+    assert (html_text.fit(pages) == weights).all()
+
+
 def test_html_of_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, 1), (2, "u", "", 2), (3, "u", PAGE, None), (3, "u", PAGE, None)], "page_id long, url string, html string, n_chars long")
     rows = html_text.main_text(pages).collect()
