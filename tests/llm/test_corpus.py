@@ -285,9 +285,34 @@ def test_lm_of_an_empty_table(none):
     assert lm_score.score(none, steps=2).count() == 0
 
 
-def test_long_runs_are_cut():
-    text = "a b " + "x" * 2500 + " c"
-    assert lm_score.encoding(lm_score.TOKENIZER).decode(lm_score.encode(text).tolist()) == text
+def test_long_runs_have_the_ids_of_the_tokenizer():
+    import time
+
+    r = random.Random(12)
+    ranks = lm_score._ranks(lm_score.TOKENIZER)
+    plain = lambda t: lm_score.encoding(lm_score.TOKENIZER).encode_ordinary(t)
+    for _ in range(30):
+        piece = " " + "".join(r.choice("aeinrstxé漢") for _ in range(r.randint(1, 300)))
+        assert lm_score.merged(piece.encode(), ranks) == plain(piece)
+    for text in ("a b " + "x" * 2500 + " c", "a  " + "ab" * 800 + "1" * 1500 + " " * 1200 + "z\n", "!" * 1100 + "er" * 700 + " the end"):
+        assert lm_score.encode(text).tolist() == plain(text)
+    began = time.perf_counter()
+    long = "".join(r.choice("aeinrst") for _ in range(200_000))
+    assert lm_score.encoding(lm_score.TOKENIZER).decode(lm_score.encode(long).tolist()) == long and time.perf_counter() - began < 30
+
+
+def test_all_training_texts_teach(spark):
+    """Averaged over the shards, one pass lowers the loss on texts of a kind that the first texts lack."""
+    r = np.random.default_rng(4)
+    first = [r.integers(0, 50, 300) for _ in range(30)]
+    model = attention.train(first, lm_score.N_IDS, lm_score.END, steps=60, counts=np.bincount(np.tile(np.arange(120), 9), minlength=lm_score.N_IDS))
+    later = [np.tile(r.permutation(60)[:4] + 60, 80) for _ in range(200)]
+    rows = spark.createDataFrame([(bytearray(t.astype("<u2").tobytes()),) for t in later[:160]], "ids binary").repartition(3)
+    model.set_counts(np.ones(lm_score.N_IDS))
+    before = model.score(later[160:], lm_score.END).sum()
+    lm_score.teach(model, rows, share=1, rounds=2)
+    assert model.score(later[160:], lm_score.END).sum() > before + 100
+    assert lm_score.teach(model, rows.limit(0)) is model
 
 
 # spans
