@@ -344,3 +344,6 @@ def island_closure(spark, sf):
     name = lambda c: F.concat(F.lit("doc/"), c.cast("string"))
     docs = read(spark, sf, "documents").select(name(n).alias("path"), F.when(n % 3 == 1, name(n - 1)).when(n % 3 == 2, name(n + 5)).alias("parent"), (n % 3 == 0).alias("reached"))
     return traverse.islands(docs.where("NOT reached").select("path", "parent"), docs.where("reached").select("path"))
+
+
+from . import catalog_corpus  # noqa: E402, F401  its queries register themselves

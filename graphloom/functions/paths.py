@@ -28,6 +28,25 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def stem(path: Column) -> Column:
+    """The path without its last extension; a leading dot begins no extension."""
+    return F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", "")
+
+
+def extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"[^/]\.([^./]*)$", 1))
+
+
+def sidecars(path: Column, formats: tuple[str, ...] = ("yaml", "yml", "json", "toml")) -> Column:
+    """The names that a payload's sidecar may have."""
+    return F.array(*(F.concat(path, F.lit(f".{x}")) for x in formats))
+
+
+def covering_nodes(path: Column, formats: tuple[str, ...] = ("yaml", "yml", "json", "toml")) -> Column:
+    """The manifest nodes that may cover a file: beside each folder above it, ``<folder>.<extension>``."""
+    return F.flatten(F.transform(ancestors(folder(path)), lambda d: sidecars(d, formats)))
+
+
 def split_locator(target: Column) -> tuple[Column, Column]:
     """(target, locator): cut at the first ``#`` that is not at the start."""
     return F.regexp_replace(target, "(?s)^([^#]+)#.*$", "$1"), F.nullif(F.regexp_extract(target, "(?s)^[^#]+#(.*)$", 1), F.lit(""))

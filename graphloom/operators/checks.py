@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import digest, is_recognized, near, path_order
@@ -27,8 +27,9 @@ def link_findings(census: DataFrame) -> DataFrame:
 
 def duplicate_containment(spanning: DataFrame) -> DataFrame:
     """(source, target): spanning edges but the first one to each target, in the order of depth, source and ordinal."""
-    first = Window.partitionBy("target").orderBy("depth", path_order(F.col("source").cast("string")), "ord")
-    return spanning.withColumn("__rank", F.row_number().over(first)).where("__rank > 1").drop("__rank")
+    place = F.struct("depth", path_order(F.col("source").cast("string")).alias("at"), "ord")
+    first = spanning.groupBy("target").agg(F.min(place).alias("__first"))  # a partial minimum: a target's edges need not meet in one task
+    return spanning.join(first, "target").where(place != F.col("__first")).select(*spanning.columns)
 
 
 def missing_inverse(spanning: DataFrame, inverse: DataFrame) -> DataFrame:

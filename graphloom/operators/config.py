@@ -36,6 +36,7 @@ BLOCKS = {
     "views": ("label", "icon", "group", "by", "under", "nest", "where"),
     "exports": ("label", "gate", "view"),
 }
+#: The policy of a workspace that says nothing.
 DEFAULTS = {"content_format": "markdown", "id_storage": "both", "identity": "lazy", "fixity": "attachments", "recycle_bin": True, "history": "off", "about": "structure", "updated": "", "workspace_id": "", "spanning": "contents"}
 
 

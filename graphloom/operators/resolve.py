@@ -21,7 +21,8 @@ def resolve(edges: DataFrame, files: DataFrame, registry: DataFrame | None = Non
 
     resolution is one of path, case_mismatch, broken, id, dangling_id, malformed_id, ambiguous_alias, external and foreign. ``files`` has (path);
     ``registry`` (id, path), a null path being a tombstone; ``titles`` (name, paths). ``valid_id`` maps an id Column to a boolean one. Every lookup is an equi-join;
-    only if no name is equal does a name that differs in ASCII case count, of several the greatest.
+    only if no name is equal does a name that differs in ASCII case count, of several the greatest. Links that a lookup doesn't concern join it by a key of their own that matches
+    nothing, so that they are spread over all tasks.
     """
     spark = edges.sparkSession
     registry = spark.createDataFrame([], "id string, path string") if registry is None else registry
@@ -39,11 +40,14 @@ def resolve(edges: DataFrame, files: DataFrame, registry: DataFrame | None = Non
         .otherwise("path")
     )
     e = e.withColumns({"__kind": kind, "__id": F.when(paths.is_id(F.col("__bare"), id_schemes), own), "__path": paths.resolve(F.col("source"), F.col("__bare"))})
+    nothing = F.concat(F.lit("\u0000"), F.xxhash64("source", "target_text").cast("string"))
+    by_name = F.col("__kind").isin("path", "alias")
+    e = e.withColumns({"__id_key": F.coalesce("__id", nothing), "__name_key": F.when(F.col("__kind") == "alias", F.col("__bare")).otherwise(nothing), "__path": F.when(by_name, F.col("__path")).otherwise(nothing)})
     there = files.select(F.col("path").alias("__path"), F.lit(True).alias("__exact")).distinct()
     folded = files.groupBy(paths.ascii_lower(F.col("path")).alias("__low")).agg(F.max("path").alias("__actual"))
     e = e.join(there, "__path", "left").withColumn("__low", paths.ascii_lower(F.col("__path"))).join(folded, "__low", "left")
-    e = e.join(registry.select(F.col("id").alias("__id"), F.col("path").alias("__live"), F.lit(True).alias("__known")), "__id", "left")
-    e = e.join(titles.select(F.col("name").alias("__bare"), F.col("paths").alias("__names")), "__bare", "left")
+    e = e.join(registry.select(F.col("id").alias("__id_key"), F.col("path").alias("__live"), F.lit(True).alias("__known")), "__id_key", "left")
+    e = e.join(titles.select(F.col("name").alias("__name_key"), F.col("paths").alias("__names")), "__name_key", "left")
     n = F.coalesce(F.size("__names"), F.lit(0))
     ok = F.lit(True) if valid_id is None else valid_id(F.col("__id"))
     # A bare name that no title has may still be a file without an extension.

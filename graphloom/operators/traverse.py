@@ -42,6 +42,8 @@ def tree(edges: DataFrame, starts: DataFrame, docs: DataFrame | None = None, ign
         if level.isEmpty():
             break
         levels.append(level)
+    else:
+        raise RuntimeError(f"the tree is deeper than {MOST_DEPTH} levels")
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -56,6 +58,8 @@ def walk(edges: DataFrame, starts: DataFrame) -> DataFrame:
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
+    else:
+        raise RuntimeError(f"the walk is longer than {MOST_DEPTH} steps")
     return seen
 
 
@@ -102,5 +106,15 @@ def route(children: DataFrame, start: str, segments: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, found) if found else here.select(F.lit(0).alias("segment"), "path", F.lit(1).cast("long").alias("n")).limit(0)
 
 
+def planned_route(found: list[tuple[str, int]], segments: list[str], start: str) -> tuple[list[str], list[str]]:
+    """(paths of the known documents, titles to create after them) from the rows (path, n) of ``route``; more than one match is an error."""
+    known = [start]
+    for path, n in found[: len(segments)]:
+        if n > 1:
+            raise ValueError(f"{n} documents below {known[-1]} have the title {segments[len(known) - 1]}")
+        known.append(path)
+    return known, segments[len(known) - 1 :]
+
+
 def route_segments(text: str) -> list[str]:
     return [s.strip() for s in text.split("/") if s.strip()]

@@ -86,5 +86,5 @@ def mirror(files: DataFrame) -> DataFrame:
 def next_snapshot(files: DataFrame, plan: DataFrame) -> DataFrame:
     """Files (path, content) after the plan's renames, recyclings and removals; rewriting link texts is the editor's part."""
     ops = plan.where("op IN ('rename', 'recycle', 'remove')").select(F.col("old").alias("path"), "op", "new")
-    out = files.join(F.broadcast(ops), "path", "left").where("op IS NULL OR op <> 'remove'")
+    out = files.join(ops, "path", "left").where("op IS NULL OR op <> 'remove'")
     return out.select(F.coalesce("new", "path").alias("path"), "content")

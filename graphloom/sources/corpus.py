@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import posixpath
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,11 +20,15 @@ from ..operators.conditions import literal_texts
 from . import frontmatter
 
 DOCUMENTS = (
-    "path string, dir string, kind string, carrier string, title string, fm_id string, meta_json string, body string, texts map<string,array<string>>,"
+    "path string, dir string, kind string, carrier string, title string, title_text string, fm_id string, meta_json string, body string, texts map<string,array<string>>,"
     " links map<string,array<string>>, present array<string>, body_links array<struct<target:string,label:string,start:long,end:long>>, error string"
 )
 
 
+#: The default relations and pointers, and the fields that name a document's payload.
+PAYLOADS = ("content", "manifest")
+
+
 @dataclass(frozen=True)
 class Relations:
     """Relations (name -> inverse or None), which one spans, and the one-way pointers."""
@@ -62,11 +67,20 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     return list_files(spark, root).mapInPandas(run, "path string, content binary, size long")
 
 
+def title_text(title) -> str | None:
+    """A title as routes see it: texts as they are, numbers and truth values rendered."""
+    if isinstance(title, str):
+        return title
+    return literal_texts(title)[0] if isinstance(title, (bool, int, float)) else None
+
+
 def _row(path: str, content: bytes) -> tuple:
     folder, kind = path.rpartition("/")[0], frontmatter.kind_of(path)
-    empty = (path, folder, kind, None, None, None, None, None, {}, {}, [], [])
+    empty = (path, folder, kind, None, None, None, None, None, None, {}, {}, [], [])
     if kind == "opaque":
         return (*empty, None)
+    if path.startswith("/") or posixpath.normpath(path).startswith(".."):
+        return (*empty, "escapes the root")
     try:
         text = content.decode()
     except UnicodeDecodeError as e:
@@ -76,7 +90,7 @@ def _row(path: str, content: bytes) -> tuple:
     title, own = meta.get("title"), meta.get("id")
     body = [(x.target, x.label, a, b) for x, a, b in links.body_links(d["body"])]
     return (
-        path, folder, kind, d["carrier"], title if isinstance(title, str) else None, own.strip() if isinstance(own, str) and own.strip() else None, json.dumps(meta, default=str) if d["meta"] is not None else None, d["body"],
+        path, folder, kind, d["carrier"], title if isinstance(title, str) else None, title_text(title), own.strip() if isinstance(own, str) and own.strip() else None, json.dumps(meta, default=str) if d["meta"] is not None else None, d["body"],
         {str(k): literal_texts(v) for k, v in meta.items()}, {str(k): found for k, v in meta.items() if (found := frontmatter.link_strings(v))}, [str(k) for k in meta], body, d["error"],
     )
 
@@ -85,7 +99,7 @@ def documents(files: DataFrame) -> DataFrame:
     """Parses (path, content) into the document model; a file that doesn't parse keeps its row, with ``error``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split(" ")[0] for f in "path dir kind carrier title fm_id meta_json body texts links present body_links error".split()]
+        names = [f.split(" ")[0] for f in "path dir kind carrier title title_text fm_id meta_json body texts links present body_links error".split()]
         for pdf in batches:
             rows = [_row(p, bytes(c) if c is not None else b"") for p, c in zip(pdf["path"], pdf["content"], strict=True)]
             out = pd.DataFrame(rows, columns=names)

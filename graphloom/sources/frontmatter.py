@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import html
 import json
 import re
 import tomllib
+from functools import cache
 from typing import Any
 
+#: Extensions and fences of the formats.
 WHOLE = {"yaml": "yaml", "yml": "yaml", "json": "json", "toml": "toml"}
 CONTENT = frozenset(("md", "markdown", "dj", "djot", "html", "htm"))
 _FENCES = {"---": "yaml", "+++": "toml", ";;;": "json"}
@@ -22,7 +25,8 @@ def kind_of(path: str) -> str:
     return "content" if ext in CONTENT else "meta" if ext in WHOLE else "opaque"
 
 
-def _yaml(text: str) -> Any:
+@cache
+def _loader():
     import yaml
 
     class Loader(yaml.SafeLoader):
@@ -36,7 +40,13 @@ def _yaml(text: str) -> Any:
         ("float", r"^[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?$", list("-+0123456789.")),
     ):
         Loader.add_implicit_resolver(f"tag:yaml.org,2002:{tag}", re.compile(pattern), first)
-    return yaml.load(text, Loader)  # noqa: S506
+    return Loader
+
+
+def _yaml(text: str) -> Any:
+    import yaml
+
+    return yaml.load(text, _loader())  # noqa: S506
 
 
 def parse_value(text: str, form: str) -> Any:
@@ -53,6 +63,18 @@ def split(path: str, text: str) -> tuple[str | None, str, str, str]:
     mark = text[:3]
     if mark in _FENCES and (m := re.match(rf"{re.escape(mark)}[ \t]*\r?\n(.*?)^{re.escape(mark)}[ \t]*(?:\r?\n|\Z)", text, re.DOTALL | re.MULTILINE)):
         return "fenced", _FENCES[mark], m[1], text[m.end() :]
+    if m := re.match(r"---(json|toml)[ \t]*\r?\n(.*?)^---[ \t]*(?:\r?\n|\Z)", text, re.DOTALL | re.MULTILINE):
+        return "fenced", m[1], m[2], text[m.end() :]
+    if m := re.match(r"(```+)(yaml|json|toml)[ \t]*\r?\n(.*?)^\1[ \t]*(?:\r?\n|\Z)", text, re.DOTALL | re.MULTILINE):
+        return "fenced", m[2], m[3], text[m.end() :]
+    if m := re.search(r"^(```+)endmatter[ \t]*\r?\n(.*?)^\1[ \t]*\s*\Z", text, re.DOTALL | re.MULTILINE):
+        return "fenced", "yaml", m[2], text[: m.start()]
+    if ext in ("html", "htm"):
+        head = r"\s*(?:<!doctype[^>]*>\s*)?"
+        if m := re.match(head + r"<script\b[^>]*\btype=[\"']application/(yaml|json|toml)[\"'][^>]*>(.*?)</script>[ \t]*(?:\r?\n)?", text, re.DOTALL | re.IGNORECASE):
+            return "fenced", m[1].lower(), m[2], text[m.end() :]
+        if m := re.match(head + r"<pre>\s*<code\b[^>]*\bclass=[\"']language-(yaml|json|toml)[\"'][^>]*>(.*?)</code>\s*</pre>[ \t]*(?:\r?\n)?", text, re.DOTALL | re.IGNORECASE):
+            return "fenced", m[1].lower(), html.unescape(m[2]), text[m.end() :]
     return None, "", "", text
 
 

@@ -96,8 +96,8 @@ def test_islands_are_no_orphans(spark):
 
 def test_vocabulary_ids_and_digests(spark):
     terms = spark.createDataFrame([("audience", "public", False), ("tags", "todo", False), ("tags", "idea", False)], "field string, term string, retired boolean")
-    registry = spark.createDataFrame([("k1", "a.md"), ("k2", None)], "id string, path string")
-    files = {"index.md": doc("[x](id:k2)", contents=["a.md", "b.md"], tags=["todi", "research"]), "a.md": doc(part_of="index.md", id="zz", audience="freinds"), "b.md": doc("text", part_of="index.md", content_hash="sha256:00")}
+    registry = spark.createDataFrame([("xdtzf1j", "a.md"), ("4mxvt25", None)], "id string, path string")
+    files = {"index.md": doc("[x](id:4mxvt25)", contents=["a.md", "b.md"], tags=["todi", "research"]), "a.md": doc(part_of="index.md", id="zz", audience="freinds"), "b.md": doc("text", part_of="index.md", content_hash="sha256:00")}
     w = Workspace(corpus(spark, files), registry=registry, terms=terms, closed_fields=("audience",))
     assert kinds(w) == [("dangling_id", "index.md"), ("fixity_mismatch", "b.md"), ("id_mismatch", "a.md"), ("term_near_miss", "index.md"), ("unknown_term", "a.md")]
 
