@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from . import textkit
 
 STEM = 5  # bytes
-SAMPLE, SAMPLE_BYTES = 3000, 16 << 20
+SAMPLE, SAMPLE_BYTES = 2250, 4 << 20
 FOLDS, HELD_OUT = 5, 0
 FOLDS_OF_FIT = 4
 THRESHOLDS = (8.0, 16.0, 24.0, 32.0, 48.0, 64.0, 96.0, 128.0, 192.0)
@@ -163,7 +163,7 @@ class Counts:
                 texts.append(len(once))
             all_codes, at, where = np.unique(np.concatenate(codes), return_index=True, return_inverse=True)
             table, context = np.unique(np.concatenate(contexts)[at], return_inverse=True)
-            n = [np.bincount(x, minlength=len(all_codes)) for x in np.split(where, np.cumsum(texts)[:-1])]
+            n = [np.bincount(x, minlength=len(all_codes)).astype(np.int32) for x in np.split(where, np.cumsum(texts)[:-1])]
             made[name] = Grams(all_codes, context, table, np.concatenate(words)[at], np.array(n).reshape(*self.texts.shape, -1))
         self.stem, self.word, self.pair = made["stem"], made["word"], made["pair"]
         self.stem_of_word = np.searchsorted(self.stem.code, stem_code(stem))
@@ -204,7 +204,7 @@ class Training:
         take = [f for f in range(c.texts.shape[1]) if f != leave]
         texts = c.texts[:, take].sum(1)
         self.counts = c
-        self.n = [g.n[:, take].sum(1) for g in (c.stem, c.word, c.pair)]
+        self.n = [g.n[:, take].sum(1, dtype=np.int32) for g in (c.stem, c.word, c.pair)]
         self.separation = [separation(n, texts) for n in self.n]
         # Shared by both classes: after how many different words a word, or a word of the stem, stands.
         places = np.bincount(c.pair.word[self.n[2].sum(0) > 0], minlength=len(c.stem_of_word)).astype(float)
