@@ -48,7 +48,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Models, hashes and best-fit order are beyond SQL; the tests hold each stage against a brute-force version.
+#: Models, hashes and best-fit order are beyond SQL. The tests hold each stage against its operator, and the operators against brute force.
 ORACLE_SQL = None
 
 
