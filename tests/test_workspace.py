@@ -115,3 +115,37 @@ def test_folder_source(spark, tmp_path):
     (tmp_path / "_notes/a.md").write_text("---\ntitle: A\n---\nbody")
     (tmp_path / ".git/x").write_text("hidden")
     assert [r["path"] for r in read_files(spark, str(tmp_path)).collect()] == ["_notes/a.md"]
+
+
+def test_carriers_of_metadata():
+    from graphloom.sources import frontmatter
+
+    cases = [
+        ("a.md", "```yaml\ntitle: x\n```\nbody", {"title": "x"}, "body"),
+        ("a.md", '---json\n{"a": 1}\n---\nbody', {"a": 1}, "body"),
+        ("a.md", "Text\n```endmatter\ntitle: y\n```\n", {"title": "y"}, "Text\n"),
+        ("a.html", '<script type="application/json">{"a": 2}</script>\n<p>hi', {"a": 2}, "<p>hi"),
+        ("a.html", '<pre><code class="language-yaml">title: &lt;z&gt;\n</code></pre>\n<p>hi', {"title": "<z>"}, "<p>hi"),
+        ("a.md", "```yaml\nopen", None, "```yaml\nopen"),
+    ]
+    for path, text, meta, body in cases:
+        d = frontmatter.parse(path, text)
+        assert (d["meta"], d["body"], d["error"]) == (meta, body, None)
+
+
+def test_discovery_routes_and_single_documents(spark):
+    files = {
+        "readme.md": doc(title="Home", config="conf.yaml", registry="ids.json", contents=["a.md", "1.md"]),
+        "a.md": doc("see [x](id:xdtzf1j)", title="Alpha", part_of="readme.md", n={"k": [1, "two"]}),
+        "1.md": doc(title=2026, part_of="readme.md", id="xdtzf1j"),
+        "conf.yaml": "views:\n  all:\n    group: title\nspec: 9\nidentiy: lazy\n",
+        "ids.json": '{"registry": {"xdtzf1j": "1.md"}}',
+        "old/b.md": doc(title="Gone"),
+    }
+    w = Workspace(corpus(spark, files), discover=True, parked=("old",))
+    assert w.root == "readme.md" and list(w.views) == ["all"]
+    assert w.route("Home/x") == (["readme.md"], ["Home", "x"]) and w.route(" 2026 / new ") == (["readme.md", "1.md"], ["new"])
+    assert w.get("a.md", "n.k.1") == "two" and w.get("a.md", "n.x") is None
+    with pytest.raises(FileNotFoundError):
+        w.document("old/b.md")
+    assert {"config_issue", "config_spec_ahead"} <= {k for k, _ in kinds(w)}
