@@ -150,7 +150,7 @@ class Counts:
         of = [np.searchsorted(word, t.word)[t.of] for t in each]
         made = {}
         for name in ("stem", "word", "pair"):
-            codes, contexts, words, texts = [], [], [], []
+            codes, seen = [], []  # of each part, sorted, once for each text; each code's first place
             for t, w in zip(each, of, strict=True):
                 code = stem_code(stem)[w] if name == "stem" else word_code(stem, word)[w] if name == "word" else pair_code(t.before, word[w])
                 order = np.lexsort((t.doc, code))
@@ -158,13 +158,20 @@ class Counts:
                 keep[1:] = (code[order][1:] != code[order][:-1]) | (t.doc[order][1:] != t.doc[order][:-1])
                 once = order[keep]
                 codes.append(code[once])
-                words.append(w[once])
-                contexts.append(np.zeros(len(once), np.uint64) if name == "stem" else stem[w[once]] if name == "word" else t.before[once])
-                texts.append(len(once))
-            all_codes, at, where = np.unique(np.concatenate(codes), return_index=True, return_inverse=True)
-            table, context = np.unique(np.concatenate(contexts)[at], return_inverse=True)
-            n = [np.bincount(x, minlength=len(all_codes)).astype(np.int32) for x in np.split(where, np.cumsum(texts)[:-1])]
-            made[name] = Grams(all_codes, context, table, np.concatenate(words)[at], np.array(n).reshape(*self.texts.shape, -1))
+                seen.append(once[np.unique(codes[-1], return_index=True)[1]].astype(np.int32))
+            all_codes = np.unique(np.concatenate([np.unique(c) for c in codes]))
+            # Part by part, so that no array of all n-grams stands beside another; the first part that holds a code comes last.
+            n = np.zeros((len(each), len(all_codes)), np.int32)
+            context, words = np.zeros(len(all_codes), np.uint64), np.zeros(len(all_codes), np.int64)
+            for i in reversed(range(len(each))):
+                n[i] = np.bincount(np.searchsorted(all_codes, codes.pop()), minlength=len(all_codes))
+                once, t = seen.pop(), each[i]
+                w = of[i][once]
+                at = np.flatnonzero(n[i])
+                words[at] = w
+                context[at] = 0 if name == "stem" else stem[w] if name == "word" else t.before[once]
+            table, context = np.unique(context, return_inverse=True)
+            made[name] = Grams(all_codes, context, table, words, n.reshape(*self.texts.shape, -1))
         self.stem, self.word, self.pair = made["stem"], made["word"], made["pair"]
         self.stem_of_word = np.searchsorted(self.stem.code, stem_code(stem))
         self.code_of_word = np.searchsorted(self.word.code, word_code(stem, word))
@@ -182,18 +189,23 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 def separation(n: np.ndarray, texts: np.ndarray) -> np.ndarray:
     """The log-likelihood ratio statistic of n-grams: do the classes differ in the share of ``texts`` that hold it?"""
-    n, total = n.astype(float), np.maximum(texts.astype(float), 1)[:, None]
+    total, out = np.maximum(texts.astype(float), 1)[:, None], np.zeros(n.shape[1])
     with np.errstate(divide="ignore", invalid="ignore"):
         part = lambda a, b: np.where(a > 0, a * np.log(a / b), 0.0)
-        share = n.sum(0) / total.sum()
-        return 2 * (part(n, total * share) + part(total - n, total * (1 - share))).sum(0)
+        for at in range(0, n.shape[1], 1 << 16):  # for the sake of memory
+            x = n[:, at : at + (1 << 16)].astype(float)
+            share = x.sum(0) / total.sum()
+            out[at : at + (1 << 16)] = 2 * (part(x, total * share) + part(total - x, total * (1 - share))).sum(0)
+    return out
 
 
-def _smoothed(n: np.ndarray, kept: np.ndarray, context: np.ndarray, size: int, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probability of each n-gram, backoff weight of each context) of a class; ``below`` are the probabilities that it is backed off to."""
+def _smoothed(n: np.ndarray, kept: np.ndarray, context: np.ndarray, size: int, below: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of each n-gram, or of those at ``only``; backoff weight of each context) of a class; ``below`` are the probabilities that they are backed off to."""
     off = np.where(kept, np.minimum(discounts(n), n), n)
     total, left = np.bincount(context, n, minlength=size), np.bincount(context, off, minlength=size)
     weight = np.where(total > 0, np.maximum(left, 1e-3) / np.maximum(total, 1), 1.0)  # a trace is always left for what the class hasn't seen
+    if only is not None:
+        n, off, context = n[only], off[only], context[only]
     return (n - off) / np.maximum(total, 1)[context] + weight[context] * below, weight
 
 
@@ -220,15 +232,16 @@ def fit(t: Training, threshold: float) -> Model:
     kept = [x >= threshold for x in t.separation]
     p_stem, root = zip(*(_smoothed(n_stem[k], kept[0], c.stem.context, 1, shared_stem) for k in (0, 1)), strict=True)
     p_word, of_stem = zip(*(_smoothed(n_word[k], kept[1], c.word.context, len(c.word.contexts), shared_word) for k in (0, 1)), strict=True)
-    alone = [(p_stem[k][c.stem_of_word] * p_word[k][c.code_of_word])[c.pair.word] for k in (0, 1)]
-    p_pair, of_before = zip(*(_smoothed(n_pair[k], kept[2], c.pair.context, len(c.pair.contexts), alone[k]) for k in (0, 1)), strict=True)
+    pairs = np.flatnonzero(kept[2])
+    alone = [(p_stem[k][c.stem_of_word] * p_word[k][c.code_of_word])[c.pair.word[pairs]] for k in (0, 1)]
+    p_pair, of_before = zip(*(_smoothed(n_pair[k], kept[2], c.pair.context, len(c.pair.contexts), alone[k], pairs) for k in (0, 1)), strict=True)
     ratio = lambda x: np.log(x[0]) - np.log(x[1])
     codes = np.concatenate([c.stem.code[kept[0]], c.word.code[kept[1]]])
     values = np.concatenate([ratio(p_stem)[kept[0]], ratio(p_word)[kept[1]]])
     order = np.argsort(codes)
     stems, befores = (np.unique(g.context[k]) for g, k in ((c.word, kept[1]), (c.pair, kept[2])))  # of all other contexts both weights are 1, but for the trace
     return Model(
-        codes[order], values[order], float(ratio(root)[0]), c.word.contexts[stems], ratio(of_stem)[stems], c.pair.code[kept[2]], ratio(p_pair)[kept[2]], c.pair.contexts[befores], ratio(of_before)[befores]
+        codes[order], values[order], float(ratio(root)[0]), c.word.contexts[stems], ratio(of_stem)[stems], c.pair.code[pairs], ratio(p_pair), c.pair.contexts[befores], ratio(of_before)[befores]
     )
 
 
@@ -290,12 +303,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = texts.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("rank").alias("rank"), F.min("text").alias("text"))
     # At most 4 * sample rows are ranked.
     so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES)
+    rows = rows.withColumn("so_far", so_far).withColumn("place", F.row_number().over(Window.partitionBy("toxic").orderBy("rank", "doc_id")))
+    rows = rows.where((F.col("so_far") <= SAMPLE_BYTES) & (F.col("place") <= sample))
     each: dict[int, list[bytes]] = {1: [], 0: []}
     n_labels = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     for r in rows.select("toxic", "rank", "doc_id", "text").orderBy("rank", "doc_id").collect():
-        if len(each[r["toxic"]]) < sample:
-            each[r["toxic"]].append(r["text"].encode())
+        each[r["toxic"]].append(r["text"].encode())
     # A text that the sample repeats is one witness.
     each = {k: list(dict.fromkeys(v)) for k, v in each.items()}
     if min(map(len, each.values())) < FOLDS_OF_FIT:
