@@ -18,24 +18,38 @@ CHUNK = 64
 ROWS, COLUMNS, BACKOFF = 512, 8192, 30.0  # ids with counts of their own as the id before, and as the id; weight of the counts alone
 
 
-def classify(stream: np.ndarray, n_ids: int, rng: np.random.Generator, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(class, input symbol) of each id, from the counts of ids and a stream of sample ids."""
-    order = np.lexsort((np.arange(n_ids), -count))
+class Contexts:
+    """What the ids that share classes stand beside: how often each of 256 frequent ids comes before it and after it."""
+
+    def __init__(self, count: np.ndarray):
+        n_ids = len(count)
+        self.order = np.lexsort((np.arange(n_ids), -count))
+        rest = self.order[OWN_CLASSES : OWN_CLASSES + 8192]
+        self.rest, self.heads = rest[count[rest] > 1], self.order[:256]
+        self.row, self.column = np.full(n_ids, -1, np.int32), np.full(n_ids, -1, np.int32)
+        self.row[self.rest], self.column[self.heads] = np.arange(len(self.rest)), np.arange(len(self.heads))
+        self.size = len(self.rest) * 2 * len(self.heads)
+
+    def codes(self, stream: np.ndarray) -> np.ndarray:
+        """A number below ``size`` for each neighbour of each such id."""
+        row, column, out = self.row[stream], self.column[stream], []
+        for r, c, shift in ((row[1:], column[:-1], 0), (row[:-1], column[1:], len(self.heads))):
+            ok = np.flatnonzero((r >= 0) & (c >= 0))
+            out.append(r[ok].astype(np.int64) * (2 * len(self.heads)) + c[ok] + shift)
+        return np.concatenate(out)
+
+
+def classify(stream: np.ndarray, n_ids: int, rng: np.random.Generator, count: np.ndarray, cells: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(class, input symbol) of each id, from the counts of ids and of their contexts, those of the stream unless given."""
+    at = Contexts(count)
+    order, rest = at.order, at.rest
     cls = np.full(n_ids, CLASSES - 1)
     own = order[:OWN_CLASSES]
     cls[own] = np.arange(OWN_CLASSES)
     # The rest by what they follow and by whether they begin a word is left to the counts of the ids before them.
-    rest = order[OWN_CLASSES : OWN_CLASSES + 8192]
-    rest = rest[count[rest] > 1]
     groups = CLASSES - OWN_CLASSES
     if len(rest) > groups:
-        heads = order[:256]
-        row, col = np.full(n_ids, -1), np.full(n_ids, -1)
-        row[rest], col[heads] = np.arange(len(rest)), np.arange(len(heads))
-        table = np.zeros((len(rest), 2 * len(heads)), np.float32)
-        for a, b, shift in ((stream[:-1], stream[1:], 0), (stream[1:], stream[:-1], len(heads))):
-            ok = (row[b] >= 0) & (col[a] >= 0)
-            np.add.at(table, (row[b][ok], col[a][ok] + shift), 1)
+        table = (np.bincount(at.codes(stream), minlength=at.size) if cells is None else cells).reshape(len(rest), -1).astype(np.float32)
         table = np.sqrt(table / np.maximum(table.sum(1, keepdims=True), 1))
         centre = table[rng.choice(len(rest), groups, replace=False)]
         for _ in range(12):
@@ -108,15 +122,18 @@ class Model:
         first = np.repeat(base[:-1] - STRIDE * (np.cumsum(windows) - windows), windows) + STRIDE * np.arange(int(windows.sum()))
         owner = np.repeat(np.arange(len(texts)), windows)
         left = np.repeat(n, windows) - (first - base[owner])  # positions to score from each window on
-        out = np.zeros(len(texts))
+        # All chunks are full, and windows are summed in one go: products and sums may round otherwise in other shapes, and equal texts have equal scores.
+        spare = -len(first) % CHUNK
+        first, owner, left = np.append(first, np.zeros(spare, np.int64)), np.append(owner, np.zeros(spare, np.int64)), np.append(left, np.zeros(spare, np.int64))
+        out = np.zeros(len(first))
         inputs, scored, class_log = np.arange(WINDOW), np.arange(STRIDE), Forward(self.p)
         for c in range(0, len(first), CHUNK):
             f = first[c : c + CHUNK]
             target = f[:, None] + lead + 1 + scored
             value = class_log(symbols[f[:, None] + inputs], cls[target]) + self.log_in[ids[target]] + after.take(row[target - 1] + column[target])
             value = np.where(scored < left[c : c + CHUNK, None], value, 0)
-            out += np.bincount(owner[c : c + CHUNK], value.sum(1, dtype=np.float64), minlength=len(texts))
-        return out
+            out[c : c + CHUNK] = value.sum(1, dtype=np.float64)
+        return np.bincount(owner, out, minlength=len(texts))
 
 
 class Forward:
@@ -176,49 +193,102 @@ _MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 _ONES = np.ones(max(WINDOW, CLASSES), np.float32)
 
 
-def _loss(p: dict[str, np.ndarray], symbols: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean negative log-likelihood of the classes after every position of the windows, and its gradients."""
+class Room:
+    """Arrays that are made once and written again by each step."""
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype, self.held = dtype, {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        have = self.held.get(name)
+        if have is None or have.shape[1:] != shape[1:] or have.shape[0] < shape[0]:
+            have = self.held[name] = np.ones(shape, self.dtype)
+        return have[: shape[0]]
+
+
+def _attend(q: np.ndarray, k: np.ndarray, out: np.ndarray) -> None:
+    """The weights of attention, rows summing to 1; a row's maximum is taken off only where exponentials overflow or vanish without."""
+    n, w = out.shape[:2]
+    np.matmul(q, k.transpose(0, 2, 1), out=out)
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(out, out=out)
+        out *= _MASK[:w, :w]
+        total = out.reshape(n * w, w) @ np.ones(w, out.dtype)
+        if not (total.min() > 1e-30 and total.max() < 1e30):
+            np.matmul(q, k.transpose(0, 2, 1), out=out)
+            out[:, _MASK[:w, :w] == 0] = -np.inf
+            out -= out.max(2, keepdims=True)
+            np.exp(out, out=out)
+            total = out.reshape(n * w, w).sum(1)
+    out.reshape(n * w, w)[...] *= (1 / total)[:, None]
+
+
+def _loss(p: dict[str, np.ndarray], symbols: np.ndarray, targets: np.ndarray, room: Room | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean negative log-likelihood of the classes after every position of the windows, and its gradients.
+
+    Biases are a row of their weights, met by a last column of ones. What the classes' softmax is divided by goes to the narrow arrays beside it, not to a row of all classes."""
     n, w = symbols.shape
-    scale = np.float32(1 / np.sqrt(DIM))
-    x = p["E"][symbols] + p["P"]
-    q, k, v = x @ p["Q"], x @ p["K"], x @ p["V"]
-    s = (q @ k.transpose(0, 2, 1)) * scale
-    s = np.where(_MASK > 0, s, -1e9)
-    a = np.exp(s - s.max(2, keepdims=True))
-    a /= a.sum(2, keepdims=True)
-    m = a @ v
-    h1 = x + m @ p["O"]
-    u = h1 @ p["W1"] + p["b1"]
-    r = np.maximum(u, 0)
-    h2 = h1 + r @ p["W2"]
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    z = flat(h2) @ p["U"]
-    z += p["b"]
-    z -= z.max(1, keepdims=True)
-    at = (np.arange(n * w), targets.ravel())
-    reached = z[at]
-    dz = np.exp(z, out=z)
-    total = dz.sum(1, keepdims=True)
-    loss = float((np.log(total[:, 0]) - reached).mean())
-    dz /= total * (n * w)
-    dz[at] -= 1 / (n * w)
-    g = {"U": flat(h2).T @ dz, "b": dz.sum(0)}
-    dh2 = (dz @ p["U"].T).reshape(h2.shape)
-    g["W2"] = flat(r).T @ flat(dh2)
-    du = (dh2 @ p["W2"].T) * (u > 0)
-    g["W1"], g["b1"] = flat(h1).T @ flat(du), flat(du).sum(0)
-    dh1 = dh2 + du @ p["W1"].T
-    g["O"] = flat(m).T @ flat(dh1)
-    dm = dh1 @ p["O"].T
-    dv = a.transpose(0, 2, 1) @ dm
-    da = dm @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(2, keepdims=True)) * scale
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g["Q"], g["K"], g["V"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-    dx = dh1 + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
-    g["P"] = dx.sum(0)
-    cells = symbols.ravel()[:, None] * DIM + np.arange(DIM)
-    g["E"] = np.bincount(cells.ravel(), dx.ravel(), minlength=p["E"].size).reshape(p["E"].shape).astype(p["E"].dtype)
+    m, d = n * w, DIM
+    room = room or Room(p["E"].dtype)
+    scale = p["Q"].dtype.type(1 / np.sqrt(d))
+    qkv_of = np.concatenate([p["Q"] * scale, p["K"], p["V"]], 1)
+    w1, u = np.vstack([p["W1"], p["b1"]]), np.vstack([p["U"], p["b"]])
+    x = p["E"].take(symbols.ravel(), axis=0, out=room("x", m, d), mode="clip")
+    x.reshape(n, w, d)[...] += p["P"][:w]
+    qkv = np.matmul(x, qkv_of, out=room("qkv", m, 3 * d)).reshape(n, w, 3 * d)
+    q, k, v = qkv[:, :, :d], qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
+    a = room("a", n, w, w)
+    _attend(q, k, a)
+    mixed = np.matmul(a, v, out=room("mixed", n, w, d)).reshape(m, d)
+    h1, h2 = room("h1", m, d + 1), room("h2", m, d + 1)  # with a column of ones
+    part = room("part", m, d)
+    np.add(x, np.matmul(mixed, p["O"], out=part), out=h1[:, :d])
+    r = np.matmul(h1, w1, out=room("r", m, w1.shape[1]))
+    np.maximum(r, 0, out=r)
+    np.add(h1[:, :d], np.matmul(r, p["W2"], out=part), out=h2[:, :d])
+    e = np.matmul(h2, u, out=room("e", m, CLASSES))
+    at = (np.arange(m), targets.ravel())
+    reached = e[at]
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(e, out=e)
+        total = e @ np.ones(CLASSES, e.dtype)
+        if not (total.min() > 1e-30 and total.max() < 1e30):
+            np.matmul(h2, u, out=e)
+            top = e.max(1)
+            e -= top[:, None]
+            reached -= top
+            total = np.exp(e, out=e).sum(1)
+    loss = float((np.log(total) - reached).mean())
+    e[at] -= total
+    by = (1 / (total * e.dtype.type(m)))[:, None]
+    g = {}
+    g_u = np.multiply(h2, by, out=room("h2 scaled", m, d + 1)).T @ e
+    g["U"], g["b"] = g_u[:-1], g_u[-1]
+    dh = np.matmul(e, p["U"].T, out=room("dh", m, d))
+    dh *= by
+    g["W2"] = r.T @ dh
+    dr = np.matmul(dh, p["W2"].T, out=room("dr", m, w1.shape[1]))
+    dr *= r > 0
+    g_1 = h1.T @ dr
+    g["W1"], g["b1"] = g_1[:-1], g_1[-1]
+    dh += np.matmul(dr, p["W1"].T, out=part)
+    g["O"] = mixed.T @ dh
+    dm = np.matmul(dh, p["O"].T, out=part)
+    dqkv = room("dqkv", n, w, 3 * d)
+    dm3 = dm.reshape(n, w, d)
+    np.matmul(a.transpose(0, 2, 1), dm3, out=dqkv[:, :, 2 * d :])
+    da = np.matmul(dm3, v.transpose(0, 2, 1), out=room("da", n, w, w))
+    da -= np.einsum("ij,ij->i", dm, mixed).reshape(n, w, 1)  # the sum of a row of a * da
+    da *= a
+    np.matmul(da, k, out=dqkv[:, :, :d])
+    np.matmul(da.transpose(0, 2, 1), q, out=dqkv[:, :, d : 2 * d])
+    g_qkv = x.T @ dqkv.reshape(m, 3 * d)
+    g["Q"], g["K"], g["V"] = g_qkv[:, :d] * scale, g_qkv[:, d : 2 * d], g_qkv[:, 2 * d :]
+    dh += np.matmul(dqkv.reshape(m, 3 * d), qkv_of.T, out=part)
+    g["P"] = np.zeros_like(p["P"])
+    g["P"][:w] = dh.reshape(n, w, d).sum(0)
+    cells = symbols.ravel()[:, None] * d + np.arange(d)
+    g["E"] = np.bincount(cells.ravel(), dh.ravel(), minlength=p["E"].size).reshape(p["E"].shape).astype(p["E"].dtype)
     return loss, g
 
 
@@ -239,42 +309,58 @@ class Learner:
 
     def __init__(self, model: Model, rate: float, batch: int = 48, seed: int = 1):
         self.model, self.rate, self.batch, self.rng = model, rate, batch, np.random.default_rng(seed)
-        model.p = {k: v.copy() for k, v in model.p.items()}
-        self.first, self.second = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2))
+        # The weights lie in one array, and so do the gradients, their means and those of their squares.
+        self.now = flat(model.p)
+        self.slope, self.first, self.second, self.part = (np.zeros_like(self.now) for _ in range(4))
+        self.room = Room(self.now.dtype)
+        self.into, at = {}, 0
+        model.p = dict(model.p)
+        for k in sorted(model.p):
+            shape, size = model.p[k].shape, model.p[k].size
+            model.p[k], self.into[k] = self.now[at : at + size].reshape(shape), self.slope[at : at + size].reshape(shape)
+            at += size
         self.steps = self.windows = 0
 
     def step(self, symbols: np.ndarray, classes: np.ndarray, rate: float) -> float:
-        p = self.model.p
-        loss, g = _loss(p, symbols, classes)
-        self.steps += 1
-        t = self.steps
+        loss, g = _loss(self.model.p, symbols, classes, self.room)
         for k, d in g.items():
-            self.first[k] = 0.9 * self.first[k] + 0.1 * d
-            self.second[k] = 0.99 * self.second[k] + 0.01 * d * d
-            p[k] -= (rate * (self.first[k] / (1 - 0.9**t)) / (np.sqrt(self.second[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            self.into[k][...] = d
+        self.steps += 1
+        t, d, part = self.steps, self.slope, self.part
+        self.first *= 0.9
+        self.first += np.multiply(d, 0.1, out=part)
+        self.second *= 0.99
+        np.multiply(d, d, out=part)
+        part *= 0.01
+        self.second += part
+        np.multiply(self.second, 1 / (1 - 0.99**t), out=part)
+        np.sqrt(part, out=part)
+        part += 1e-8
+        np.divide(self.first, part, out=part)
+        part *= rate / (1 - 0.9**t)
+        self.now -= part
         self.windows += len(symbols)
         return loss
 
-    def read(self, stream: np.ndarray, share: int) -> None:
-        """One window in ``share`` of those that the stream holds, at random places; a short stream gives at least one."""
-        lead = np.full(WINDOW + 1, stream[-1])  # an end
-        stream = np.concatenate([lead[: WINDOW - STRIDE], stream, lead])
-        n = max(1, len(stream) // (WINDOW * share))
-        at = self.rng.integers(0, len(stream) - WINDOW, n)[:, None] + np.arange(WINDOW)
-        symbols, classes = self.model.symbol, self.model.cls
-        for a in range(0, n, self.batch):
-            part = stream[at[a : a + self.batch]]
-            after = stream[at[a : a + self.batch] + 1]
-            self.step(symbols[part], classes[after], self.rate * min(1, (self.steps + 1) / 20) * len(part) / self.batch)
-
-
-def train(texts: list[np.ndarray], n_ids: int, end: int, steps: int = 600, batch: int = 48, seed: int = 1, counts: np.ndarray | None = None) -> Model:
-    """Fits the attention model to sample texts by Adam; deterministic for a seed. ``counts`` of ids choose those with classes and symbols of their own, the sample's unless given."""
+    def read(self, stream: np.ndarray, share: int = 1) -> None:
+        """The stream's windows in random order, one in ``share`` of them; with 1, each id is predicted once. A last window that the stream doesn't fill begins earlier."""
+        stream = np.concatenate([np.full(1 + max(0, WINDOW - len(stream)), stream[-1]), stream])  # an end
+        last = len(stream) - 1 - WINDOW
+        starts = self.rng.permutation(np.append(np.arange(0, last, WINDOW), last))
+        starts = starts[: max(1, len(starts) // share)]
+        symbol, cls = self.model.symbol[stream[:-1]], self.model.cls[stream[1:]]
+        for a in range(0, len(starts), self.batch):
+            at = starts[a : a + self.batch, None] + np.arange(WINDOW)
+            self.step(symbol[at], cls[at], self.rate * min(1, (self.steps + 1) / 20) * len(at) / self.batch)
+
+
+def train(texts: list[np.ndarray], n_ids: int, end: int, steps: int = 600, batch: int = 48, seed: int = 1, counts: np.ndarray | None = None, cells: np.ndarray | None = None) -> Model:
+    """Fits the attention model to sample texts by Adam; deterministic for a seed. ``counts`` of ids choose those with classes and symbols of their own, ``cells`` of their contexts the classes of the others; both are the sample's unless given."""
     rng = np.random.default_rng(seed)
     lead = np.full(WINDOW - STRIDE + 1, end)
     stream = np.concatenate([np.concatenate([lead, t]) for t in texts] + [np.full(WINDOW + 1, end)]).astype(np.int64)
     counts = np.bincount(stream, minlength=n_ids) if counts is None else counts
-    cls, symbol = classify(stream, n_ids, rng, counts)
+    cls, symbol = classify(stream, n_ids, rng, counts, cells)
     normal = lambda *shape, s: (rng.standard_normal(shape) * s).astype(np.float32)
     p = {"E": normal(SYMBOLS + CLASSES, DIM, s=0.3), "P": normal(WINDOW, DIM, s=0.05), "W1": normal(DIM, HIDDEN, s=0.25), "b1": np.zeros(HIDDEN, np.float32), "W2": normal(HIDDEN, DIM, s=0.1), "U": normal(DIM, CLASSES, s=0.2)}
     p |= {k: normal(DIM, DIM, s=0.25) for k in "QKVO"}

@@ -1,8 +1,9 @@
 """LM scoring: a causal self-attention model over subword ids, and the corpus counts beside it.
 
 Both learn from documents that are not held out, from all of them: the counts say how often each word occurs, each subword id, and each pair of neighbouring ids. Ids are made once, stored beside the texts, and read by
-all later passes. The attention model starts from SAMPLE documents chosen by a hash (of up to SAMPLE_BYTES) on the driver; then every task takes its shard's windows, one in SHARE of all that the training texts hold, however many these are and
-long or short, through further steps, and the shards' weights are averaged by their numbers of windows, ROUNDS times. Which ids have a class, a symbol or counts of their own follows from the exact counts.
+all later passes. The attention model's first weights come from SAMPLE documents chosen by a hash (of up to SAMPLE_BYTES) on the driver; then every task takes all windows of its shard of the training texts, however many these are and
+long or short, through further steps, each id predicted once, and the shards' weights are averaged by their numbers of windows, ROUNDS times. Which ids have a class, a symbol or counts of their own, and which ids share a class,
+follows from exact counts over all training texts.
 Every whole text is scored: overlapping windows give each subword, and the end, one log-probability.
 
 The count table grows with the corpus and stays distributed. Its head, at most HEAD words, is broadcast; words of the tail are joined by hash as
@@ -39,7 +40,7 @@ N_IDS = END + 1
 FOLDS, HELD_OUT = 7, 2
 HEAD = 1 << 19
 SAMPLE, SAMPLE_BYTES, STEPS = 600, 32_768, 1500
-SHARE, ROUNDS = 16, 1
+ROUNDS = 1
 SLICE = 6 << 20
 WEIGHT_SLICES = 64
 LONG = 1000
@@ -146,6 +147,18 @@ def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(ids[at])], names=["id", "n"])
 
 
+def _count_contexts(contexts: attention.Contexts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(contexts.size, np.int32)
+        for stream in _streams(batches):
+            at, n = np.unique(contexts.codes(np.concatenate([[END], stream])), return_counts=True)
+            cells[at] += n.astype(np.int32)
+        at = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cells[at].astype(np.int64))], names=["id", "n"])
+
+    return run
+
+
 def _count_pairs(model: attention.Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros(attention.N_PAIRS, np.int32)
@@ -183,7 +196,7 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([n for n, _ in total.values()], pa.int64()), pa.array([(x / n).astype("<f4").tobytes() for n, x in total.values()], pa.binary())], names=["slice", "windows", "weights"])
 
 
-def teach(model: attention.Model, learn: DataFrame, share: int = SHARE, rounds: int = ROUNDS) -> attention.Model:
+def teach(model: attention.Model, learn: DataFrame, share: int = 1, rounds: int = ROUNDS) -> attention.Model:
     """The model after all training texts (ids). The weights travel in slices, summed by task; the driver receives one model a round."""
     kind = "slice int, windows long, weights binary"
     for i in range(rounds):
@@ -284,7 +297,9 @@ def score(docs: DataFrame, tokenizer: str = TOKENIZER, sample: int = SAMPLE, ste
     ranks = [r["rank"] for r in short.select("rank").orderBy("rank").limit(sample).collect()]
     chosen = short.where(F.col("rank") <= ranks[-1]).select("rank", "ids").limit(2 * sample).collect() if ranks else []
     chosen = sorted((r["rank"], bytes(r["ids"])) for r in chosen)[:sample]
-    model = attention.train([np.frombuffer(t, "<u2").astype(np.int64) for _, t in chosen] or [np.zeros(0, np.int64)], N_IDS, END, steps, counts=ids)
+    contexts = attention.Contexts(ids)
+    cells = _table(learn.select("ids").mapInArrow(_count_contexts(contexts), "id int, n long"), contexts.size)
+    model = attention.train([np.frombuffer(t, "<u2").astype(np.int64) for _, t in chosen] or [np.zeros(0, np.int64)], N_IDS, END, steps, counts=ids, cells=cells)
     model = teach(model, learn)
     pairs = _table(learn.select("ids").mapInArrow(_count_pairs(model), "id int, n long"), attention.N_PAIRS)
     words = spool(learn.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")

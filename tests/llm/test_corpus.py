@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -315,6 +316,79 @@ def test_all_training_texts_teach(spark):
     assert lm_score.teach(model, rows.limit(0)) is model
 
 
+
+def test_equal_texts_score_equally_anywhere():
+    r = np.random.default_rng(10)
+    model = attention.train([r.integers(0, 300, 5000)], 301, 300, steps=20)
+    model.set_counts(np.ones(301), r.integers(0, 3, attention.N_PAIRS))
+    text = r.integers(0, 300, 700)
+    scores = set()
+    for k in range(40):
+        texts = [r.integers(0, 300, n) for n in r.integers(0, 400, k)]
+        at = int(r.integers(0, k + 1))
+        scores.add(float(model.score([*texts[:at], text, *texts[at:]], 300)[at]))
+    assert len(scores) == 1
+
+
+def test_each_id_of_a_stream_is_predicted_once(monkeypatch):
+    r = np.random.default_rng(6)
+    model = attention.train([r.integers(0, 300, 500)], 301, 300, steps=2)
+    model.cls = model.symbol = np.arange(301)
+    seen = []
+    monkeypatch.setattr(attention.Learner, "step", lambda self, symbols, classes, rate: seen.append((symbols, classes)))
+    stream = np.append(r.permutation(300)[: attention.WINDOW * 5], 300)[-attention.WINDOW * 5 :]
+    attention.Learner(model, 0.01).read(stream, 1)
+    symbols, classes = (np.concatenate(x) for x in zip(*seen, strict=True))
+    assert sorted(classes.ravel().tolist()) == sorted(stream.tolist())
+    before = dict(zip(stream.tolist(), [300, *stream[:-1].tolist()], strict=True))
+    assert all(before[b] == a for a, b in zip(symbols.ravel().tolist(), classes.ravel().tolist(), strict=True))
+    for n in (1, 30, 48, 49, 500):  # a last window may begin earlier
+        seen.clear()
+        stream = r.permutation(300)[:n] if n < 300 else np.arange(n) % 300
+        attention.Learner(model, 0.01).read(stream, 1)
+        assert set(stream.tolist()) <= set(np.concatenate([c for _, c in seen]).ravel().tolist()) and sum(map(len, (c for _, c in seen))) == -(-n // attention.WINDOW)
+
+
+def test_the_query_teaches_all_windows():
+    import inspect
+
+    r = np.random.default_rng(7)
+    model = attention.train([r.integers(0, 300, 500)], lm_score.N_IDS, lm_score.END, steps=2)
+    texts = [r.integers(0, 300, n) for n in (0, 5, 3000, 70, 9000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t.astype("<u2").tobytes() for t in texts], pa.binary())], names=["ids"])
+    share = inspect.signature(lm_score.teach).parameters["share"].default
+    taught = next(lm_score._teach(model, share, 0.002)(iter([batch])))
+    assert taught.column("windows")[0].as_py() == -(-sum(len(t) + 1 for t in texts) // attention.WINDOW)
+
+
+def test_classes_follow_from_all_contexts():
+    """Ids that the sample lacks are classed by what they follow in the training texts."""
+    r = np.random.default_rng(8)
+    n = 1200
+    stream = np.empty(120_000, np.int64)
+    stream[::2] = r.integers(0, 2, 60_000)  # one of two common ids, and after each an id of its own half
+    stream[1::2] = 200 + 2 * r.integers(0, 500, 60_000) + stream[::2]
+    counts = np.bincount(stream, minlength=n)
+    at = attention.Contexts(counts)
+    cells = np.bincount(at.codes(stream), minlength=at.size)
+    cls, _ = attention.classify(stream[:100], n, np.random.default_rng(1), counts, cells)
+    shared = at.rest[counts[at.rest] > 20]
+    assert len(shared) > 500 and not set(cls[shared[shared % 2 == 0]]) & set(cls[shared[shared % 2 == 1]])
+    whole, _ = attention.classify(stream, n, np.random.default_rng(1), counts)
+    assert (whole == cls).all()
+
+
+def test_gradients_where_exponentials_overflow():
+    r = np.random.default_rng(9)
+    model = attention.train([r.integers(0, 300, 500)], 301, 300, steps=5)
+    s, t = r.integers(0, 200, (2, attention.WINDOW)), r.integers(0, attention.CLASSES, (2, attention.WINDOW))
+    for name, by in (("Q", 300), ("U", 300)):
+        p = {k: v * np.float32(by if k == name else 1) for k, v in model.p.items()}
+        loss, g = attention._loss(p, s, t)
+        exact, h = attention._loss({k: v.astype(float) for k, v in p.items()}, s, t)
+        assert math.isclose(loss, exact, rel_tol=1e-3) and all(np.isfinite(g[k]).all() and np.abs(g[k] - h[k]).max() <= 0.02 * np.abs(h[k]).max() for k in g)
+
+
 # spans
 
 
