@@ -206,6 +206,21 @@ def test_evidence_equals_plain_kneser_ney(threshold):
     assert known and np.allclose(model.evidence([" ".join(t).encode() for t in sample]), [plain(t) for t in sample], atol=2e-3)
 
 
+def test_training_holds_few_bytes_a_word():
+    import tracemalloc
+
+    r = np.random.default_rng(11)
+    vocabulary = np.array([f"{a}{b}" for a in range(100) for b in "abcdefghij"])
+    each = {k: [" ".join(vocabulary[(r.random(200) ** 2 * 1000).astype(int)]).encode() for _ in range(1000)] for k in (1, 0)}
+    tracemalloc.start()
+    try:
+        toxicity.learn(each, {1: 1000, 0: 1000})
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80 * 400_000, peak / 400_000
+
+
 def test_toxicity_of_odd_rows(spark, odd, none, labelled):
     model = toxicity.train(*labelled)
     rows = toxicity.score(odd.withColumnRenamed("lang", "score"), model).collect()
