@@ -1,7 +1,7 @@
 """A small causal self-attention model in numpy: forward and backward passes, training, batched window scoring.
 
 The vocabulary is split into classes: P(id | before) = P(class | before) * P(id | class). The first factor is a one-layer attention
-model; the second comes from the ids' counts after the id before, backed off to their counts alone. Frequent ids have a class and an input symbol of their own, the others share those of
+model, which predicts the most frequent classes outright and the others in two steps, a group of classes and the class in it; the second comes from the ids' counts after the id before, backed off to their counts alone. Frequent ids have a class and an input symbol of their own, the others share those of
 the class that k-means puts them in by the ids they follow.
 """
 
@@ -13,8 +13,13 @@ import numpy as np
 
 WINDOW, STRIDE = 48, 36
 DIM, HIDDEN = 24, 48
-CLASSES, OWN_CLASSES, SYMBOLS = 192, 160, 2048
-CHUNK = 64
+CLASSES, OWN_CLASSES, SYMBOLS = 256, 160, 2048
+#: The classes from TAIL[0] on are predicted in two steps, their group and then the class in it; groups begin at TAIL. Columns of U and b: the groups, then the classes.
+TAIL = (32, 72, 112, 160, 208)
+GROUPS = len(TAIL)
+TOP = GROUPS + TAIL[0]
+SPANS = [(a + GROUPS, b + GROUPS) for a, b in zip(TAIL, (*TAIL[1:], CLASSES), strict=True)]
+CHUNK, BLOCK = 128, 256
 ROWS, COLUMNS, BACKOFF = 512, 8192, 30.0  # ids with counts of their own as the id before, and as the id; weight of the counts alone
 
 
@@ -140,57 +145,88 @@ class Forward:
     """log P(class) of targets (windows, STRIDE) after symbols (windows, WINDOW), for the last STRIDE positions of at most CHUNK windows.
 
     Arrays are made once and written again for each chunk; the biases are a row of the weights, met by a last column of ones. Exponentials are taken without a
-    row's maximum, for speed; rows where they overflow or vanish are done again with it."""
+    row's maximum, for speed; rows where they overflow or vanish are done again with it. Positions of a group go in blocks of one size, the last filled up, for a product may round otherwise in another shape."""
 
     def __init__(self, p: dict[str, np.ndarray]):
-        self.p, self.kv, self.q = p, np.concatenate([p["K"], p["V"]], 1), p["Q"] / np.float32(np.sqrt(DIM))
+        self.p, of = p, _joined(p)
+        # What a symbol and its place give for queries and values is added up, as they are themselves.
+        self.q, self.v = ((p["E"] @ w, p["P"] @ w) for w in of)
         self.w1, self.u = np.vstack([p["W1"], p["b1"]]), np.vstack([p["U"], p["b"]])
+        self.top, self.groups = np.ascontiguousarray(self.u[:, :TOP]), [np.ascontiguousarray(self.u[:, a:b]) for a, b in SPANS]
         room = lambda *shape: np.empty(shape, np.float32)
-        self.x, self.both, self.a = room(CHUNK, WINDOW, DIM), room(CHUNK * WINDOW, 2 * DIM), room(CHUNK, STRIDE, WINDOW)
-        self.h, self.turned, self.mid, self.z = np.ones((CHUNK * STRIDE, DIM + 1), np.float32), room(CHUNK * STRIDE, DIM), room(CHUNK * STRIDE, len(p["b1"])), room(CHUNK * STRIDE, CLASSES)
-        self.rows = np.arange(CHUNK * STRIDE)
+        self.x, self.v_of, self.a = room(CHUNK, WINDOW, DIM), room(CHUNK, WINDOW, DIM), room(CHUNK, STRIDE, WINDOW)
+        self.h, self.turned, self.mid, self.z = np.ones((CHUNK * STRIDE, DIM + 1), np.float32), room(CHUNK * STRIDE, DIM), room(CHUNK * STRIDE, len(p["b1"])), room(CHUNK * STRIDE, TOP)
+        self.block, self.inner = np.zeros((BLOCK, DIM + 1), np.float32), [room(BLOCK, b - a) for a, b in SPANS]
+        self.rows, self.column = np.arange(CHUNK * STRIDE), np.zeros(BLOCK, np.int64)
 
     def __call__(self, symbols: np.ndarray, targets: np.ndarray) -> np.ndarray:
         p, n = self.p, len(symbols)
         m = n * STRIDE
         x = p["E"].take(symbols, axis=0, out=self.x[:n], mode="clip")
         x += p["P"]
-        # Two-dimensional products where it can be, for numpy multiplies a stack of matrices one by one.
-        both = np.matmul(x.reshape(-1, DIM), self.kv, out=self.both[: n * WINDOW]).reshape(n, WINDOW, 2 * DIM)
+        v = self.v[0].take(symbols, axis=0, out=self.v_of[:n], mode="clip")
+        v += self.v[1]
         biased = self.h[:m]
         h, turned = biased[:, :DIM], self.turned[:m]
         biased.reshape(n, STRIDE, DIM + 1)[:, :, :DIM] = x[:, WINDOW - STRIDE :]
-        q = np.matmul(h, self.q, out=turned).reshape(n, STRIDE, DIM)
+        q = self.q[0].take(symbols[:, WINDOW - STRIDE :], axis=0, out=turned.reshape(n, STRIDE, DIM), mode="clip")
+        q += self.q[1][WINDOW - STRIDE :]
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-            a = np.matmul(q, both[:, :, :DIM].transpose(0, 2, 1), out=self.a[:n])
+            a = np.matmul(q, x.transpose(0, 2, 1), out=self.a[:n])
             np.exp(a, out=a)
             a *= _MASK[WINDOW - STRIDE :]
             total = a.reshape(-1, WINDOW) @ _ONES[:WINDOW]
             for i in np.flatnonzero(~((total > 0) & (total < np.inf))):
                 w, at = divmod(i, STRIDE)
-                s = np.where(_MASK[WINDOW - STRIDE + at] > 0, both[w, :, :DIM] @ q[w, at], -np.inf)
+                s = np.where(_MASK[WINDOW - STRIDE + at] > 0, x[w] @ q[w, at], -np.inf)
                 a[w, at] = np.exp(s - s.max())
                 total[i] = a[w, at].sum()
-            mixed = np.matmul(a, both[:, :, DIM:], out=turned.reshape(n, STRIDE, DIM)).reshape(m, DIM)
+            mixed = np.matmul(a, v, out=turned.reshape(n, STRIDE, DIM)).reshape(m, DIM)
             mixed /= total[:, None]
-            h += mixed @ p["O"]
+            h += mixed
             mid = np.matmul(biased, self.w1, out=self.mid[:m])
             h += np.matmul(np.maximum(mid, 0, out=mid), p["W2"], out=turned)
-            z = np.matmul(biased, self.u, out=self.z[:m])
-            at = z[self.rows[:m], targets.ravel()]
-            total = np.exp(z, out=z) @ _ONES[:CLASSES]
-            out = at - np.log(total)
-            odd = np.flatnonzero(~((total > 0) & (total < np.inf)))
-            if len(odd):
-                z = biased[odd] @ self.u
-                top = z.max(1)
-                out[odd] = at[odd] - top - np.log(np.exp(z - top[:, None]).sum(1))
-        return out.reshape(targets.shape)
+            targets = targets.ravel()
+            out = _log_softmax(biased, self.top, _TOP_OF[targets], self.rows[:m], self.z[:m])
+            group = _GROUP_OF[targets]
+            for g, u in enumerate(self.groups):
+                at = np.flatnonzero(group == g)
+                where = targets[at] - (SPANS[g][0] - GROUPS)
+                for i in range(0, len(at), BLOCK):
+                    k = at[i : i + BLOCK]
+                    self.block[: len(k)] = biased[k]
+                    self.column[: len(k)] = where[i : i + BLOCK]
+                    self.column[len(k) :] = 0
+                    out[k] += _log_softmax(self.block, u, self.column, self.rows[:BLOCK], self.inner[g])[: len(k)]
+        return out.reshape(-1, STRIDE)
+
+
+def _log_softmax(h: np.ndarray, u: np.ndarray, at: np.ndarray, rows: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """log P of column ``at`` of each row of the softmax of h @ u; ``z`` is written over."""
+    np.matmul(h, u, out=z)
+    reached = z[rows, at]
+    total = np.exp(z, out=z) @ _ONES[: u.shape[1]]
+    out = reached - np.log(total)
+    if not np.isfinite(out.sum()):
+        odd = np.flatnonzero(~((total > 0) & (total < np.inf)))
+        z = h[odd] @ u
+        top = z.max(1)
+        out[odd] = reached[odd] - top - np.log(np.exp(z - top[:, None]).sum(1))
+    return out
 
 
 N_PAIRS = (ROWS + CLASSES) * (COLUMNS + CLASSES)
 _MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
-_ONES = np.ones(max(WINDOW, CLASSES), np.float32)
+_ONES = np.ones(max(WINDOW, CLASSES + GROUPS), np.float32)
+#: Of each class: its column in the first softmax, or that of its group, and the number of its group, GROUPS if it has none.
+_GROUP_OF = np.digitize(np.arange(CLASSES), TAIL[1:]).astype(np.int8)
+_GROUP_OF[: TAIL[0]] = GROUPS
+_TOP_OF = np.where(_GROUP_OF < GROUPS, _GROUP_OF, np.arange(CLASSES) + GROUPS)
+
+
+def _joined(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The products of Q and K, scaled, and of V and O: scores and what is mixed come from the inputs by one product each."""
+    return (p["Q"] @ p["K"].T) * p["Q"].dtype.type(1 / np.sqrt(DIM)), p["V"] @ p["O"]
 
 
 class Room:
@@ -199,97 +235,119 @@ class Room:
     def __init__(self, dtype: np.dtype):
         self.dtype, self.held = dtype, {}
 
-    def __call__(self, name: str, *shape: int) -> np.ndarray:
+    def __call__(self, name: str, *shape: int, dtype: np.dtype | None = None) -> np.ndarray:
         have = self.held.get(name)
         if have is None or have.shape[1:] != shape[1:] or have.shape[0] < shape[0]:
-            have = self.held[name] = np.ones(shape, self.dtype)
+            have = self.held[name] = np.ones(shape, dtype or self.dtype)
         return have[: shape[0]]
 
 
-def _attend(q: np.ndarray, k: np.ndarray, out: np.ndarray) -> None:
-    """The weights of attention, rows summing to 1; a row's maximum is taken off only where exponentials overflow or vanish without."""
-    n, w = out.shape[:2]
-    np.matmul(q, k.transpose(0, 2, 1), out=out)
+def _attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, a: np.ndarray, out: np.ndarray) -> None:
+    """The weights of attention and what they mix, both before they are divided by the last column, the weights' sums; a row's maximum is taken off only where exponentials overflow or vanish without."""
+    w = a.shape[1]
+    np.matmul(q, k.transpose(0, 2, 1), out=a)
     with np.errstate(over="ignore", invalid="ignore"):
-        np.exp(out, out=out)
-        out *= _MASK[:w, :w]
-        total = out.reshape(n * w, w) @ np.ones(w, out.dtype)
+        np.exp(a, out=a)
+        a *= _MASK[:w, :w]
+        np.matmul(a, v, out=out)
+        total = out[:, :, -1]
         if not (total.min() > 1e-30 and total.max() < 1e30):
-            np.matmul(q, k.transpose(0, 2, 1), out=out)
-            out[:, _MASK[:w, :w] == 0] = -np.inf
-            out -= out.max(2, keepdims=True)
-            np.exp(out, out=out)
-            total = out.reshape(n * w, w).sum(1)
-    out.reshape(n * w, w)[...] *= (1 / total)[:, None]
+            np.matmul(q, k.transpose(0, 2, 1), out=a)
+            a[:, _MASK[:w, :w] == 0] = -np.inf
+            a -= a.max(2, keepdims=True)
+            np.exp(a, out=a)
+            np.matmul(a, v, out=out)
+
+
+def _softmax(h: np.ndarray, u: np.ndarray, targets: np.ndarray, m: int, dh: np.ndarray, g: np.ndarray, room: Room, name: str) -> float:
+    """The sum of -log P of the targets, columns of the softmax of h @ u. ``dh`` and ``g`` get the gradients of h (without its ones) and u of that sum over ``m``.
+
+    What a row is divided by goes to the narrow arrays beside it, not to all its columns."""
+    e = np.matmul(h, u, out=room(name, len(h), u.shape[1]))
+    at = np.arange(0, e.size, e.shape[1]) + targets
+    cells = e.reshape(-1)
+    reached = cells[at]
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(e, out=e)
+        total = e @ np.ones(e.shape[1], e.dtype)
+        if not (total.min() > 1e-30 and total.max() < 1e30):
+            np.matmul(h, u, out=e)
+            top = e.max(1)
+            e -= top[:, None]
+            reached -= top
+            total = np.exp(e, out=e).sum(1)
+    cells[at] -= total
+    by = (1 / (total * e.dtype.type(m)))[:, None]
+    g[...] = np.multiply(h, by, out=room(name + " h", *h.shape)).T @ e
+    np.matmul(e, u[:-1].T, out=dh)
+    dh *= by
+    return float((np.log(total) - reached).sum())
 
 
 def _loss(p: dict[str, np.ndarray], symbols: np.ndarray, targets: np.ndarray, room: Room | None = None) -> tuple[float, dict[str, np.ndarray]]:
     """Mean negative log-likelihood of the classes after every position of the windows, and its gradients.
 
-    Biases are a row of their weights, met by a last column of ones. What the classes' softmax is divided by goes to the narrow arrays beside it, not to a row of all classes."""
+    Biases are a row of their weights, met by a last column of ones."""
     n, w = symbols.shape
     m, d = n * w, DIM
     room = room or Room(p["E"].dtype)
-    scale = p["Q"].dtype.type(1 / np.sqrt(d))
-    qkv_of = np.concatenate([p["Q"] * scale, p["K"], p["V"]], 1)
+    qv_of = np.concatenate(_joined(p), 1)
     w1, u = np.vstack([p["W1"], p["b1"]]), np.vstack([p["U"], p["b"]])
     x = p["E"].take(symbols.ravel(), axis=0, out=room("x", m, d), mode="clip")
     x.reshape(n, w, d)[...] += p["P"][:w]
-    qkv = np.matmul(x, qkv_of, out=room("qkv", m, 3 * d)).reshape(n, w, 3 * d)
-    q, k, v = qkv[:, :, :d], qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
-    a = room("a", n, w, w)
-    _attend(q, k, a)
-    mixed = np.matmul(a, v, out=room("mixed", n, w, d)).reshape(m, d)
+    x3 = x.reshape(n, w, d)
+    qv = room("qv", m, 2 * d + 1)  # with a column of ones
+    np.matmul(x, qv_of, out=qv[:, : 2 * d])
+    qv = qv.reshape(n, w, 2 * d + 1)
+    q, v = qv[:, :, :d], qv[:, :, d:]
+    a, mixed = room("a", n, w, w), room("mixed", n, w, d + 1)
+    _attend(q, x3, v, a, mixed)
+    mixed = mixed.reshape(m, d + 1)
+    by = 1 / mixed[:, d:]
+    mixed = np.multiply(mixed[:, :d], by, out=room("part of inputs", m, d))
     h1, h2 = room("h1", m, d + 1), room("h2", m, d + 1)  # with a column of ones
     part = room("part", m, d)
-    np.add(x, np.matmul(mixed, p["O"], out=part), out=h1[:, :d])
+    np.add(x, mixed, out=h1[:, :d])
     r = np.matmul(h1, w1, out=room("r", m, w1.shape[1]))
     np.maximum(r, 0, out=r)
     np.add(h1[:, :d], np.matmul(r, p["W2"], out=part), out=h2[:, :d])
-    e = np.matmul(h2, u, out=room("e", m, CLASSES))
-    at = (np.arange(m), targets.ravel())
-    reached = e[at]
-    with np.errstate(over="ignore", invalid="ignore"):
-        np.exp(e, out=e)
-        total = e @ np.ones(CLASSES, e.dtype)
-        if not (total.min() > 1e-30 and total.max() < 1e30):
-            np.matmul(h2, u, out=e)
-            top = e.max(1)
-            e -= top[:, None]
-            reached -= top
-            total = np.exp(e, out=e).sum(1)
-    loss = float((np.log(total) - reached).mean())
-    e[at] -= total
-    by = (1 / (total * e.dtype.type(m)))[:, None]
-    g = {}
-    g_u = np.multiply(h2, by, out=room("h2 scaled", m, d + 1)).T @ e
+    targets, dh, g_u, g = targets.ravel(), room("dh", m, d), np.zeros_like(u), {}
+    loss = _softmax(h2, u[:, :TOP], _TOP_OF[targets], m, dh, g_u[:, :TOP], room, "top")
+    group = _GROUP_OF[targets]
+    order = np.argsort(group, kind="stable")
+    ends = np.cumsum(np.bincount(group, minlength=GROUPS + 1)[:GROUPS])
+    order = order[: ends[-1]]
+    inner, d_inner, where = h2.take(order, axis=0, out=room("inner", len(order), d + 1), mode="clip"), room("d inner", len(order), d), targets[order]
+    for (lo, hi), start, end in zip(SPANS, [0, *ends], ends, strict=False):
+        if end > start:
+            loss += _softmax(inner[start:end], u[:, lo:hi], where[start:end] - (lo - GROUPS), m, d_inner[start:end], g_u[:, lo:hi], room, f"inner {lo}")
+    dh[order] += d_inner
     g["U"], g["b"] = g_u[:-1], g_u[-1]
-    dh = np.matmul(e, p["U"].T, out=room("dh", m, d))
-    dh *= by
     g["W2"] = r.T @ dh
     dr = np.matmul(dh, p["W2"].T, out=room("dr", m, w1.shape[1]))
     dr *= r > 0
     g_1 = h1.T @ dr
     g["W1"], g["b1"] = g_1[:-1], g_1[-1]
     dh += np.matmul(dr, p["W1"].T, out=part)
-    g["O"] = mixed.T @ dh
-    dm = np.matmul(dh, p["O"].T, out=part)
-    dqkv = room("dqkv", n, w, 3 * d)
-    dm3 = dm.reshape(n, w, d)
-    np.matmul(a.transpose(0, 2, 1), dm3, out=dqkv[:, :, 2 * d :])
+    # What a row of da less the sum of its a * da is comes from one product, by the column of ones in v.
+    dm1, dqv = room("dm", m, d + 1), room("dqv", n, w, 2 * d)
+    dm = np.multiply(dh, by, out=dm1[:, :d])
+    np.negative(np.einsum("ij,ij->i", dm, mixed), out=dm1[:, d])
+    dm3 = dm1.reshape(n, w, d + 1)
+    np.matmul(a.transpose(0, 2, 1), dm3[:, :, :d], out=dqv[:, :, d:])
     da = np.matmul(dm3, v.transpose(0, 2, 1), out=room("da", n, w, w))
-    da -= np.einsum("ij,ij->i", dm, mixed).reshape(n, w, 1)  # the sum of a row of a * da
     da *= a
-    np.matmul(da, k, out=dqkv[:, :, :d])
-    np.matmul(da.transpose(0, 2, 1), q, out=dqkv[:, :, d : 2 * d])
-    g_qkv = x.T @ dqkv.reshape(m, 3 * d)
-    g["Q"], g["K"], g["V"] = g_qkv[:, :d] * scale, g_qkv[:, d : 2 * d], g_qkv[:, 2 * d :]
-    dh += np.matmul(dqkv.reshape(m, 3 * d), qkv_of.T, out=part)
+    np.matmul(da, x3, out=dqv[:, :, :d])
+    dh += np.matmul(da.transpose(0, 2, 1), q, out=part.reshape(n, w, d)).reshape(m, d)
+    g_qv = x.T @ dqv.reshape(m, 2 * d)
+    dh += np.matmul(dqv.reshape(m, 2 * d), qv_of.T, out=part)
+    scale, g_qk, g_vo = p["Q"].dtype.type(1 / np.sqrt(d)), g_qv[:, :d], g_qv[:, d:]
+    g["Q"], g["K"], g["V"], g["O"] = g_qk @ p["K"] * scale, g_qk.T @ p["Q"] * scale, g_vo @ p["O"].T, p["V"].T @ g_vo
     g["P"] = np.zeros_like(p["P"])
     g["P"][:w] = dh.reshape(n, w, d).sum(0)
-    cells = symbols.ravel()[:, None] * d + np.arange(d)
-    g["E"] = np.bincount(cells.ravel(), dh.ravel(), minlength=p["E"].size).reshape(p["E"].shape).astype(p["E"].dtype)
-    return loss, g
+    cells = np.add((symbols.ravel() * d)[:, None], np.arange(d), out=room("cells", m, d, dtype=np.int64))
+    g["E"] = np.bincount(cells.ravel(), dh.ravel(), minlength=p["E"].size).reshape(p["E"].shape)
+    return loss / m, g
 
 
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -327,17 +385,16 @@ class Learner:
             self.into[k][...] = d
         self.steps += 1
         t, d, part = self.steps, self.slope, self.part
+        # The means are kept 10 and 100 times as large, which the rate and the 1e-8 make good.
         self.first *= 0.9
-        self.first += np.multiply(d, 0.1, out=part)
+        self.first += d
         self.second *= 0.99
-        np.multiply(d, d, out=part)
-        part *= 0.01
-        self.second += part
-        np.multiply(self.second, 1 / (1 - 0.99**t), out=part)
-        np.sqrt(part, out=part)
-        part += 1e-8
+        self.second += np.multiply(d, d, out=part)
+        np.sqrt(self.second, out=part)
+        far = float(np.sqrt(100 * (1 - 0.99**t)))
+        part += 1e-8 * far
         np.divide(self.first, part, out=part)
-        part *= rate / (1 - 0.9**t)
+        part *= 0.1 * rate * far / (1 - 0.9**t)
         self.now -= part
         self.windows += len(symbols)
         return loss
@@ -362,10 +419,10 @@ def train(texts: list[np.ndarray], n_ids: int, end: int, steps: int = 600, batch
     counts = np.bincount(stream, minlength=n_ids) if counts is None else counts
     cls, symbol = classify(stream, n_ids, rng, counts, cells)
     normal = lambda *shape, s: (rng.standard_normal(shape) * s).astype(np.float32)
-    p = {"E": normal(SYMBOLS + CLASSES, DIM, s=0.3), "P": normal(WINDOW, DIM, s=0.05), "W1": normal(DIM, HIDDEN, s=0.25), "b1": np.zeros(HIDDEN, np.float32), "W2": normal(HIDDEN, DIM, s=0.1), "U": normal(DIM, CLASSES, s=0.2)}
+    p = {"E": normal(SYMBOLS + CLASSES, DIM, s=0.3), "P": normal(WINDOW, DIM, s=0.05), "W1": normal(DIM, HIDDEN, s=0.25), "b1": np.zeros(HIDDEN, np.float32), "W2": normal(HIDDEN, DIM, s=0.1), "U": normal(DIM, GROUPS + CLASSES, s=0.2)}
     p |= {k: normal(DIM, DIM, s=0.25) for k in "QKVO"}
     share = np.bincount(cls[stream], minlength=CLASSES) + 1.0
-    p["b"] = np.log(share / share.sum()).astype(np.float32)
+    p["b"] = np.log(np.append(np.bincount(_GROUP_OF, share)[:GROUPS], share) / share.sum()).astype(np.float32)
     model = Model(cls, symbol, p, np.lexsort((np.arange(n_ids), -counts)))
     if len(stream) <= WINDOW + 1:
         return model

@@ -404,6 +404,60 @@ def test_gradients_where_exponentials_overflow():
         assert math.isclose(loss, exact, rel_tol=1e-3) and all(np.isfinite(g[k]).all() and np.abs(g[k] - h[k]).max() <= 0.02 * np.abs(h[k]).max() for k in g)
 
 
+def test_each_segment_is_tokenised_once(monkeypatch):
+    """Ids from segments are those of whole texts, whatever white space and signs stand at the cuts, and repeated segments cost the tokenizer nothing."""
+    r = random.Random(13)
+    plain = lm_score.encoding(lm_score.TOKENIZER).encode_ordinary
+    signs = [" ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u180e", "\u200b", "\x00", "a", "b'", "'s", "'ll", "\xe9", "\u6f22\u5b57", "7", "12", "!", "--", "\U0001f600", "\u03a9", " xxx"]
+    for slots in (lm_score.SLOTS, 8):  # with few slots most segments aren't kept
+        monkeypatch.setattr(lm_score, "SLOTS", slots)
+        monkeypatch.setattr(lm_score, "_SLOT", np.uint64(slots - 1))
+        segments = lm_score.Segments(lm_score.TOKENIZER)
+        for _ in range(6):
+            texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(200)] + ["", " ", "a ", " a", "x" * 2500 + " b", " " * 1500 + "z", " " + "y" * 300 + " y"]
+            for _ in range(2):
+                assert segments.encode([t.encode() for t in texts]).to_pylist() == [np.array(plain(t), "<u2").tobytes() for t in texts]
+    rare = [" ".join("%x" % r.getrandbits(60) for _ in range(9000)).encode()]
+    assert segments.encode(rare).to_pylist() == [np.array(plain(rare[0].decode()), "<u2").tobytes()]
+    monkeypatch.undo()
+    words, read = ["".join(r.choice("aeinrst") for _ in range(8)) for _ in range(50)], []
+    own = lm_score.encoding(lm_score.TOKENIZER)
+
+    class Counting:
+        def encode_ordinary(self, text):
+            read.append(len(text))
+            return own.encode_ordinary(text)
+
+    monkeypatch.setattr(lm_score, "encoding", lambda path: Counting())
+    texts = [" ".join(r.choice(words) for _ in range(400)).encode() for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t.decode() for t in texts])], names=["text"])
+    got = next(lm_score._encoded(lm_score.TOKENIZER)(iter([batch]))).column("ids").to_pylist()
+    assert got == [np.array(plain(t.decode()), "<u2").tobytes() for t in texts] and sum(read) < sum(map(len, texts)) / 50
+
+
+def test_classes_of_a_group_are_predicted_after_the_group():
+    """Scores and losses equal a plain model in two steps, and no position meets all classes."""
+    r = np.random.default_rng(14)
+    model = attention.train([r.integers(0, 300, 4000)], 301, 300, steps=20)
+    p, d, w = {k: v.astype(float) for k, v in model.p.items()}, attention.DIM, attention.WINDOW
+    s, t = model.symbol[r.integers(0, 300, (3, w))], r.integers(0, attention.CLASSES, (3, w))
+    edges, log = [*attention.TAIL, attention.CLASSES], np.zeros((3, w))
+    for n in range(3):
+        x = p["E"][s[n]] + p["P"]
+        for i in range(w):
+            a = np.exp(x[: i + 1] @ p["K"] @ (x[i] @ p["Q"]) / math.sqrt(d))
+            h = x[i] + a / a.sum() @ x[: i + 1] @ p["V"] @ p["O"]
+            h = h + np.maximum(h @ p["W1"] + p["b1"], 0) @ p["W2"]
+            z = np.exp(h @ p["U"] + p["b"])
+            groups, classes = z[: attention.GROUPS], z[attention.GROUPS :]
+            top = groups.sum() + classes[: edges[0]].sum()
+            g = sum(t[n, i] >= e for e in edges) - 1
+            log[n, i] = math.log(classes[t[n, i]] / top if g < 0 else groups[g] / top * classes[t[n, i]] / classes[edges[g] : edges[g + 1]].sum())
+    assert math.isclose(attention._loss(p, s, t)[0], -log.mean(), rel_tol=1e-9)
+    assert np.allclose(model.class_log(s, t[:, w - attention.STRIDE :]), log[:, w - attention.STRIDE :], atol=1e-4)
+    assert attention.TOP + max(b - a for a, b in attention.SPANS) < attention.CLASSES / 2
+
+
 # spans
 
 
