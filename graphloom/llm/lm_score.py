@@ -253,7 +253,7 @@ def _count_contexts(contexts: attention.Contexts):
 def _count_pairs(model: attention.Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros(attention.N_PAIRS, np.int32)
-        for stream in _streams(batches):
+        for stream in _streams(batches, 1 << 22):  # a run costs a pass over all cells
             np.add(pairs, np.bincount(model.pairs(np.concatenate([[END], stream])), minlength=attention.N_PAIRS), out=pairs, casting="unsafe")
         at = np.flatnonzero(pairs)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(pairs[at].astype(np.int64))], names=["id", "n"])
