@@ -417,6 +417,10 @@ def test_each_segment_is_tokenised_once(monkeypatch):
             texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(200)] + ["", " ", "a ", " a", "x" * 2500 + " b", " " * 1500 + "z", " " + "y" * 300 + " y"]
             for _ in range(2):
                 assert segments.encode([t.encode() for t in texts]).to_pylist() == [np.array(plain(t), "<u2").tobytes() for t in texts]
+    monkeypatch.setattr(lm_score, "SLICE", 9)  # long texts go part by part
+    for t in ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(300)]:
+        assert segments.encode([t.encode()]).to_pylist() == [np.array(plain(t), "<u2").tobytes()]
+    assert len(lm_score._parts(b"one two three four five six")) == 3
     rare = [" ".join("%x" % r.getrandbits(60) for _ in range(9000)).encode()]
     assert segments.encode(rare).to_pylist() == [np.array(plain(rare[0].decode()), "<u2").tobytes()]
     monkeypatch.undo()
